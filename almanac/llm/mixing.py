@@ -45,14 +45,15 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("free"), share).otherwise(F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) and `extra` columns, a row for each row of docs.
+def mix(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each row of docs; with carry also that row, as a struct `_row`.
 
     taken counts words, repeats included; one row of a source may be taken in part, at the cut.
     Null texts have size 0 and take nothing; a null source is a source. Rows that share an id
     follow each other by size; a source without words has target 0.
     """
-    rows = docs.select("doc_id", "source", n_words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"), *extra)
+    row = [F.struct(*docs.columns).alias("_row")] if carry else []
+    rows = docs.select("doc_id", "source", n_words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"), *row)
     ranges = F.lit(max(16, docs.count() // RANGE_ROWS))
     rows = rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)))
     # Not map-side only: sizes by source and range are few, whatever the source.
@@ -69,7 +70,24 @@ def mix(docs: DataFrame, seed: str = "mix", extra: tuple[str, ...] = ()) -> Data
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     once = F.greatest(F.lit(0), F.least("size", rest - F.col("part_before") - F.col("in_part")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), *extra)
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), *(["_row"] if carry else []))
+
+
+def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """docs as the mix takes it: every row once per full pass over it, and a last time cut to the words that are left to take.
+
+    Rows that the mix takes nothing of are not in it. Cut rows have the words taken, joined by
+    single spaces, and n_chars to match where docs has it.
+    """
+    out = mix(docs, seed, carry=True).where("taken > 0")
+    turns = F.concat(F.array_repeat(F.lit(0).cast("long"), F.expr("cast(taken div size AS int)")), F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>")))
+    out = out.select("_row", F.explode(turns).alias("_words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") > 0, cut).otherwise(F.col("_row.text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_words") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,12 @@ def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c")).select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the least of its group, all columns as they are. Rows without an id stand alone and stay."""
+    found = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
