@@ -1,16 +1,18 @@
 """N-gram Jaccard join: a sparse product of the document by n-gram incidence matrix, in blocks.
 
 Rows of the matrix are documents, columns 5-word shingles. Only the entries that a pair of
-similar documents must share are multiplied: columns have one global order (frequent ones
-last, otherwise by hash), and of a row with n entries the first n - ceil(0.8 n) + 1 are enough.
+similar documents must share are multiplied: columns have one global order (rare ones by
+hash, then frequent ones by the logarithm of their number of rows), and of a row with n entries the first n - ceil(0.8 n) + 1 are enough.
 A block holds the columns of one hash bucket, and within it a column is cut by size classes.
 
 Products are taken in two rounds, so that a large group of copies costs rows in proportion
 to its size instead of pairs:
 
-1. In each column every row is multiplied with the least row of its size class. Per row the partner
+1. In each column every row is multiplied with the most usual row of its size class, the one with the largest
+   part of frequent columns: among copies it is the one that the others were made from. Per row the partner
    with the highest overlap count is verified on the full shingle sets, and verified links are joined to classes.
-2. Columns whose rows are all in one class are done. In the others all pairs of rows of
+2. Columns whose rows are all in one class are done. In the others rows try a few partners of other
+   classes in the same way, and then all pairs of rows of
    different classes are multiplied, their overlap counts accumulate over the blocks, pairs below
    the bound that the sizes allow are discarded, and the rest is verified on the full sets.
 
@@ -26,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.components import components
-from almanac.llm.packed import back, deal, gather, pieces, scatter, schema, settle, total_bytes, tune, with_id
+from almanac.llm.packed import back, by_group, deal, gather, pieces, scatter, schema, settle, split, total_bytes, tune, with_group
 from almanac.llm.words import shingles
 
 #: Similarity in hundredths, and words of a shingle.
 SIMILAR, K = 80, 5
-#: Columns with this many rows count as frequent; so many of the most frequent go last in the order.
-FREQUENT, MOST_FREQUENT = 100, 200_000
+#: Part of the columns, by hash, whose rows are counted; the others come last in the order and are hardly reached.
+COUNTED = 0.4
+#: Columns with so many rows and more are ordered by the logarithm of their number, after all others.
+FREQUENT = 8
+#: Times that documents of mixed columns try one more partner before all remaining pairs are taken.
+TURNS = 3
 #: Ids below this number are broadcast (24 bytes each), above it they are joined by a shuffle.
 SMALL = 500_000
 
@@ -42,41 +48,49 @@ def needed(n):
     return n - -(-SIMILAR * n // 100) + 1
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first entries of a set in the global order."""
-    if len(frequent) and len(s):
+def prefix(s: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first entries of a set in the global order, and how unusual the set is: per mille of its counted columns that are not frequent."""
+    if not len(s):
+        return s, 0
+    late = np.where(s < np.uint64(COUNTED * 2**64), 0, 255)
+    usual = 0
+    if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        late = frequent[at] == s
-        if late.any():
-            s = np.concatenate([s[~late], s[late]])
-    return s[: needed(len(s))] if len(s) else s
+        hit = frequent[at] == s
+        late[hit] = level[at[hit]]
+        usual = int(hit.sum())
+    counted = int((late < 255).sum())
+    s = s[np.lexsort((s, late))]
+    return s[: needed(len(s))], 1000 - 1000 * usual // max(1, counted)
 
 
-def sizes_and_frequent(docs: DataFrame, groups: int) -> DataFrame:
-    """Packed rows: kind 0 has frequent columns and their counts, kind 1 documents and their set sizes."""
+def sizes_and_frequent(texts: DataFrame, groups: int) -> DataFrame:
+    """Packed rows by the group of the documents: kind f has (document, frequent column, level), kind n documents and their set sizes."""
 
     def count(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = [shingles(x) for x in b.column(1).to_pylist()]
-            n = np.array([len(s) for s in sets], np.int64)
-            first = [s[: int(len(s) * 0.25) + 1] for s in sets]
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            sets = [shingles(x) for x in b.column("data").to_pylist()]
+            first = [s[: np.searchsorted(s, np.uint64(COUNTED * 2**64))] for s in sets]
             h = np.concatenate([*first, np.empty(0, np.uint64)])
             if len(h):
-                out = scatter((h % np.uint64(groups)).astype(np.int64), groups, {"a": h, "b": np.empty(len(h), np.uint8)})
-                yield out
+                yield scatter((h % np.uint64(groups)).astype(np.int64), groups, {"a": h, "b": np.repeat(ids, [len(s) for s in first])})
             if len(ids):
-                out = scatter(deal(ids, groups), groups, {"a": ids, "b": n})
+                out = scatter(deal(ids, groups), groups, {"a": ids, "b": np.array([len(s) for s in sets], np.int64)})
                 yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + groups, pa.int32()), out.column(1), out.column(2)], names=["g", "a", "b"])
 
     def reduce(key, table):
         if key[0].as_py() >= groups:
-            return pa.table({"g": pa.array([1], pa.int32()), "a": pa.array([gather(table, "a", np.int64).tobytes()], pa.binary()), "b": pa.array([gather(table, "b", np.int64).tobytes()], pa.binary())})
-        h, c = np.unique(gather(table, "a", np.uint64), return_counts=True)
-        hot = c >= FREQUENT
-        return pa.table({"g": pa.array([0], pa.int32()), "a": pa.array([h[hot].tobytes()], pa.binary()), "b": pa.array([c[hot].astype(np.int64).tobytes()], pa.binary())})
+            a, b, none = gather(table, "a", np.int64).tobytes(), gather(table, "b", np.int64).tobytes(), pa.array([b""], pa.binary())
+            return pa.table({"g": pa.array([key[0].as_py() - groups], pa.int32()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary()), "c": none, "kind": ["n"]})
+        h, doc = gather(table, "a", np.uint64), gather(table, "b", np.int64)
+        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        n = n[at]
+        hot = n >= FREQUENT
+        out = scatter(deal(doc[hot], groups), groups, {"a": doc[hot], "b": h[hot], "c": np.log2(n[hot]).astype(np.uint8)})
+        return pa.Table.from_batches([out]).append_column("kind", pa.array(["f"] * out.num_rows, pa.string()))
 
-    return settle(docs.mapInArrow(count, schema("a", "b")).groupBy("g").applyInArrow(reduce, schema("a", "b")))
+    return settle(texts.mapInArrow(count, schema("a", "b")).groupBy("g").applyInArrow(reduce, schema("a", "b", "c") + ", kind string"))
 
 
 def unpack(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -91,34 +105,46 @@ def unpack(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*source).mapInArrow(rows, ", ".join(f"{c} long" for c in names.values()))
 
 
-def columns_of(docs: DataFrame, groups: int, frequent: np.ndarray) -> DataFrame:
-    """Columns with two rows or more, one packed row per block."""
+def columns_of(texts: DataFrame, known: DataFrame, groups: int) -> DataFrame:
+    """Columns with two rows or more, one packed row per block, in order of column, size class and how unusual a row is."""
 
-    def entries(batches):
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = [shingles(x) for x in b.column(1).to_pylist()]
-            first = [prefix(s, frequent) for s in sets]
-            k = np.array([len(p) for p in first])
-            if k.sum():
-                h = np.concatenate(first)
-                yield scatter((h % np.uint64(groups)).astype(np.int64), groups, {"h": h, "doc": np.repeat(ids, k), "n": np.repeat(np.array([len(s) for s in sets], np.int32), k)})
+    def entries(key, text: pa.Table, replies: pa.Table) -> pa.Table:
+        frequent = split(replies, "f", {"a": np.int64, "b": np.uint64, "c": np.uint8})
+        none = (np.empty(0, np.uint64), np.empty(0, np.uint8))
+        h, doc, n, odd = [], [], [], []
+        for d, data in zip(text.column("doc_id").to_pylist(), text.column("data"), strict=True):
+            s = shingles(data.as_py())
+            f, level = frequent.get(d, none)
+            order = np.argsort(f, kind="stable")
+            p, unusual = prefix(s, f[order], level[order])
+            h.append(p), doc.append(np.full(len(p), d, np.int64)), n.append(np.full(len(p), len(s), np.int32)), odd.append(np.full(len(p), unusual, np.int16))
+        h = np.concatenate([*h, np.empty(0, np.uint64)])
+        columns = {"h": h, "doc": np.concatenate([*doc, np.empty(0, np.int64)]), "n": np.concatenate([*n, np.empty(0, np.int32)]), "odd": np.concatenate([*odd, np.empty(0, np.int16)])}
+        return pa.Table.from_batches([scatter((h % np.uint64(groups)).astype(np.int64), groups, columns)])
 
     def reduce(key, table):
-        h, doc, n = gather(table, "h", np.uint64), gather(table, "doc", np.int64), gather(table, "n", np.int32)
-        order = np.lexsort((doc, n, h))
-        h, doc, n = h[order], doc[order], n[order]
-        same = h[1:] == h[:-1]
+        h, doc, n, odd = gather(table, "h", np.uint64), gather(table, "doc", np.int64), gather(table, "n", np.int32), gather(table, "odd", np.int16)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
         shared = np.zeros(len(h), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "h": pa.array([h[shared].tobytes()], pa.binary()), "doc": pa.array([doc[shared].tobytes()], pa.binary()), "n": pa.array([n[shared].astype(np.int64).tobytes()], pa.binary())})
+        order = order[shared]
+        h, doc, n, odd = h[order], doc[order], n[order], odd[order]
+        order = np.lexsort((doc, n, odd, size_class(n), h))
+        pack = lambda x: pa.array([x[order].tobytes()], pa.binary())
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "h": pack(h), "doc": pack(doc), "n": pack(n.astype(np.int64))})
+
+    asked = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(entries, schema("h", "doc", "n", "odd"))
+    return settle(asked.groupBy("g").applyInArrow(reduce, schema("h", "doc", "n")))
+
 
-    return settle(docs.mapInArrow(entries, schema("h", "doc", "n")).groupBy("g").applyInArrow(reduce, schema("h", "doc", "n")))
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / SIMILAR)).astype(np.int64)
 
 
 def best_partners(columns: DataFrame, groups: int) -> DataFrame:
-    """(x, hub, n): per document the least row of its size class that it meets most often."""
+    """(x, hub, n): per document the first row of its size class that it meets most often."""
 
     def stars(batches):
         for b in batches:
@@ -126,10 +152,10 @@ def best_partners(columns: DataFrame, groups: int) -> DataFrame:
             h, doc, n = gather(t, "h", np.uint64), gather(t, "doc", np.int64), gather(t, "n", np.int64)
             if not len(h):
                 continue
-            size = np.floor(np.log(n) / np.log(100 / SIMILAR)).astype(np.int64)
+            size = size_class(n)
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
-            # The least row of the class below is tried too: similar sizes can lie on either side of an edge.
+            # The first row of the class below is tried too: similar sizes can lie on either side of an edge.
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             col = np.ones(len(h), bool)
             col[1:] = h[1:] != h[:-1]
@@ -137,7 +163,7 @@ def best_partners(columns: DataFrame, groups: int) -> DataFrame:
             before = np.where(col[start] | (size[before] != size - 1), start, start[before])
             x, hub, nn = [], [], []
             for to in (start, before):
-                ok = (doc[to] != doc) & (100 * n[to] >= SIMILAR * n)
+                ok = (doc[to] != doc) & (100 * np.minimum(n[to], n) >= SIMILAR * np.maximum(n[to], n))
                 x.append(doc[ok]), hub.append(doc[to][ok]), nn.append(n[ok])
             x, hub, nn = map(np.concatenate, (x, hub, nn))
             if not len(x):
@@ -195,12 +221,25 @@ def verify(docs: DataFrame, pairs: DataFrame, groups: int, words_each: int = 200
     return settle(rows.groupBy("g").applyInArrow(check, "x long, hub long"))
 
 
-def cross_pairs(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, hub, n): pairs of documents of different classes whose accumulated overlap can still reach the bound."""
+def mixed_rows(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, doc, n, c, size) of the columns whose rows are of different classes c."""
     rows = unpack(columns, {"h": "h", "doc": "doc", "n": "n"}).join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("c"))
     rows = settle(rows)
     mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    rows = settle(rows.join(mixed, "h").withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / SIMILAR)))))
+    return settle(rows.join(mixed, "h").withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / SIMILAR)))))
+
+
+def other_partners(rows: DataFrame, turn: int) -> DataFrame:
+    """(x, hub, n): per document of a mixed column the row of another class that it meets most often among one row drawn from each column."""
+    drawn = rows.groupBy("h", "size").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), F.col("doc").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"))).alias("d")).select("h", "size", "d.*")
+    met = rows.join(drawn, ["h", "size"]).where(f"c <> hub_c and 100 * least(n, hub_n) >= {SIMILAR} * greatest(n, hub_n)")
+    count = met.groupBy("doc", "hub", "n").agg(F.count("*").alias("k"))
+    best = count.groupBy("doc", "n").agg(F.max(F.struct(F.col("k"), (-F.col("hub")).alias("hub"))).alias("b"))
+    return settle(best.select(F.col("doc").alias("x"), (-F.col("b.hub")).alias("hub"), "n"))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """(x, hub, n): pairs of documents of different classes whose accumulated overlap can still reach the bound."""
     a = rows.select("h", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     b = rows.select("h", "size", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
     met = a.join(b, ["h", "size"]).where(f"cx <> cy and (nx < ny or (nx = ny and x < y)) and 100 * nx >= {SIMILAR} * ny")
@@ -211,6 +250,11 @@ def cross_pairs(columns: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(count.where(bound).select(F.col("x"), F.col("y").alias("hub"), F.col("nx").alias("n")))
 
 
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links."""
+    return components(labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(links), "x", "hub")
+
+
 def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -220,17 +264,16 @@ def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     """
     tune(docs.sparkSession)
     groups = pieces(total_bytes(docs, text))
-    docs = with_id(docs, doc, text)
-    first = sizes_and_frequent(docs, groups)
-    hot = unpack(first.where("g = 0"), {"a": "h", "b": "c"}).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.h for r in hot.collect()], np.int64).view(np.uint64))
-    columns = columns_of(docs, groups, frequent)
+    texts = by_group(with_group(docs, groups, doc, text), groups)
+    docs = texts.select("doc_id", "data")
+    first = sizes_and_frequent(texts, groups)
+    columns = columns_of(texts, first.where("kind = 'f'"), groups)
     links = verify(docs, best_partners(columns, groups), groups)
     labels = components(links, "x", "hub")
-    more = verify(docs, cross_pairs(columns, labels), groups)
-    # Classes of round 1 and the links found between them.
-    labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(more), "x", "hub")
-    sizes = unpack(first.where("g = 1"), {"a": "doc_id", "b": "n_shingles"})
+    for turn in range(TURNS):
+        labels = merge(labels, verify(docs, other_partners(mixed_rows(columns, labels), turn), groups))
+    labels = merge(labels, verify(docs, cross_pairs(mixed_rows(columns, labels)), groups))
+    sizes = unpack(first.where("kind = 'n'"), {"a": "doc_id", "b": "n_shingles"})
     return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c")).select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from almanac.llm.packed import back, by_group, deal, gather, mix, pieces, scatter, schema, settle, total_bytes, tune, with_group
+from almanac.llm.packed import back, by_group, deal, gather, mix, pieces, scatter, schema, settle, split, total_bytes, tune, with_group
 
 WIDTH, SEED = 50, 20
 #: A trigger in 2^TRIGGER positions; phrases of at least and at most so many bytes.
@@ -78,21 +78,6 @@ def parts(starts: np.ndarray, again: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[i]), int(starts[j])) for i, j in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def split(table: pa.Table, kind: str, dtypes: dict[str, type]) -> dict[int, tuple[np.ndarray, ...]]:
-    """Packed replies of one kind by document."""
-    if not table.num_rows:
-        return {}
-    part = table.filter(pa.compute.equal(table.column("kind"), kind))
-    columns = [gather(part, c, t) for c, t in dtypes.items()]
-    if not len(columns[0]):
-        return {}
-    order = np.argsort(columns[0], kind="stable")
-    columns = [c[order] for c in columns]
-    ids, at = np.unique(columns[0], return_index=True)
-    ends = np.append(at[1:], len(columns[0]))
-    return {int(d): tuple(c[i:j] for c in columns[1:]) for d, i, j in zip(ids, at, ends, strict=True)}
-
-
 def earlier_phrases(texts: DataFrame, groups: int) -> DataFrame:
     """Replies (kind p): the phrases of a document that a smaller doc_id has too."""
 
