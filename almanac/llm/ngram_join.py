@@ -229,6 +229,13 @@ def mixed_rows(columns: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(rows.join(mixed, "h").withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / SIMILAR)))))
 
 
+def few_pairs(rows: DataFrame, each: int = 10) -> bool:
+    """Whether taking all pairs of the mixed columns makes at most `each` products per entry."""
+    per = rows.groupBy("h", "size").agg(F.count("*").cast("double").alias("k"))
+    n, pairs = per.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum(F.col("k") * F.col("k") / 2), F.lit(0.0))).first()
+    return pairs <= each * n
+
+
 def other_partners(rows: DataFrame, turn: int) -> DataFrame:
     """(x, hub, n): per document of a mixed column the row of another class that it meets most often among one row drawn from each column."""
     drawn = rows.groupBy("h", "size").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), F.col("doc").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"))).alias("d")).select("h", "size", "d.*")
@@ -270,9 +277,13 @@ def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     columns = columns_of(texts, first.where("kind = 'f'"), groups)
     links = verify(docs, best_partners(columns, groups), groups)
     labels = components(links, "x", "hub")
+    rows = mixed_rows(columns, labels)
     for turn in range(TURNS):
-        labels = merge(labels, verify(docs, other_partners(mixed_rows(columns, labels), turn), groups))
-    labels = merge(labels, verify(docs, cross_pairs(mixed_rows(columns, labels)), groups))
+        if few_pairs(rows):
+            break
+        labels = merge(labels, verify(docs, other_partners(rows, turn), groups))
+        rows = mixed_rows(columns, labels)
+    labels = merge(labels, verify(docs, cross_pairs(rows), groups))
     sizes = unpack(first.where("kind = 'n'"), {"a": "doc_id", "b": "n_shingles"})
     return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c")).select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
