@@ -10,6 +10,7 @@ bounded number in all, are packed first-fit by decreasing length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from almanac.llm.packed import settle, tune
 
 CAPACITY, SHORTEST, END = 4096, 64, 2
 #: Words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,31 +43,33 @@ class Ids(dict):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model, self.letters = self.whole.model, byte_letters()
-        self.marks = b".,!?;:#$%&*|"
+        self.marks, self.end = b".,!?;:#$%&*|", struct.pack("<I", END)
 
-    def one(self, word: bytes) -> np.ndarray:
+    def one(self, word: bytes) -> bytes:
         """Letters only: the model alone, on its alphabet. All else takes the whole tokenizer."""
-        if word.isalpha():
-            return np.array([t.id for t in self.model.tokenize(word.decode())], np.uint32)
         text = word.decode()
-        if text.isalpha() and "À" <= min(c for c in text if not c.isascii()) and max(text) <= "ɏ" and text == text.lower():
-            return np.array([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))], np.uint32)
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if word.isalpha():
+            ids = [t.id for t in self.model.tokenize(text)]
+        elif text.isalpha() and "À" <= min(c for c in text if not c.isascii()) and max(text) <= "ɏ" and text == text.lower():
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: bytes) -> np.ndarray:
+    def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(self.marks)
         if core and core != word and (core.isalpha() or core.decode().isalpha()):
-            ids = np.concatenate([self[core], self.one(word[len(core) :])])
+            ids = self[core] + self[word[len(core) :]]
         else:
             ids = self.one(word)
         self[word] = ids
         return ids
 
-    def of(self, text: bytes) -> np.ndarray:
+    def of(self, text: bytes) -> bytes:
+        """The ids of a text and its end, as little-endian numbers of 32 bits."""
         if len(self) > REMEMBERED:
             self.clear()
-        words = text.lower().split()
-        return np.concatenate([*map(self.__getitem__, words), np.array([END], np.uint32)]) if words else np.array([END], np.uint32)
+        return b"".join(map(self.__getitem__, text.lower().split())) + self.end
 
 
 def cut(n: int) -> list[int]:
@@ -92,11 +95,10 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, start = ids_of.of(text or b""), 0
-                raw = ids.astype("<u4").tobytes()
-                for n in cut(len(ids)):
+                raw, start = ids_of.of(text or b""), 0
+                for n in cut(len(raw) // 4):
                     k = CAPACITY // n
-                    rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(ids), k, task, count.get(k, 0)))
+                    rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(raw) // 4, k, task, count.get(k, 0)))
                     count[k] = count.get(k, 0) + 1
                     start += n
             if rows:
