@@ -54,7 +54,7 @@ def mix(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
     """
     row = [F.struct(*docs.columns).alias("_row")] if carry else []
     rows = docs.select("doc_id", "source", n_words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"), *row)
-    ranges = F.lit(max(16, docs.count() // RANGE_ROWS))
+    ranges = F.lit(max(64, docs.count() // RANGE_ROWS))
     rows = rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)))
     # Not map-side only: sizes by source and range are few, whatever the source.
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
