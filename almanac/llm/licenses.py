@@ -3,8 +3,8 @@
 A text is read in overlapping windows. A template of up to c words (c a power of two) lies whole in
 one window of 2c words at steps of c. MinHash bands of the windows retrieve templates, and the exact
 containment of the template's shingles in the window verifies them. A window that holds 0.8 of a
-template's shingles shares at least a quarter of the union of both, so BANDS bands of one
-row miss it with a probability below (3/4)^BANDS, 1e-8.
+template's shingles has a least similarity to it that the sizes give, and each template takes as many
+bands of one row as miss it with a probability of MISSED at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-K, CONTAINED, BANDS, LEAST = 5, 80, 64, 8
+K, CONTAINED, LEAST, MISSED = 5, 80, 8, 1e-8
+EMPTY = "''"
 
 #: Notices of well-known licences as they are commonly written.
 TEMPLATES = {
@@ -31,19 +32,34 @@ def tokens(column: str) -> str:
     return f"filter(split(lower({column}), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')"
 
 
-def shingled(words: str) -> str:
-    return f"CASE WHEN size({words}) >= {K} THEN transform(sequence(1, size({words}) - {K - 1}), i -> xxhash64(array_join(slice({words}, i, {K}), ' '))) ELSE array() END"
+def held(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """df with one more column. As the only row of a generator it is computed once: filters on it are not pushed below and repeat nothing."""
+    return df.select("*", F.explode(F.array(F.expr(expression))).alias(name))
 
 
-def bands(shingles: str) -> str:
-    return f"transform(sequence(1, {BANDS}), k -> array_min(transform({shingles}, s -> xxhash64(s, k))))"
+def shingled(df: DataFrame, text: str) -> DataFrame:
+    """df with `words`, the hashes of the text's words, and `all`, those of its shingles in order. Null and short texts have none."""
+    at = ", ".join(f"words[i + {j}]" for j in range(K))
+    df = held(df, "words", f"transform({tokens(f'coalesce({text}, {EMPTY})')}, w -> xxhash64(w))")
+    return held(df, "all", f"CASE WHEN size(words) >= {K} THEN transform(sequence(0, size(words) - {K}), i -> xxhash64({at})) ELSE cast(array() AS array<bigint>) END")
+
+
+def bands(shingles: str, count: str) -> str:
+    """The least hash of a set under each of `count` hash functions."""
+    return f"transform(sequence(1, {count}), k -> array_min(transform({shingles}, s -> xxhash64(s, k))))"
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(license, class, own): the distinct shingles of each template of five words or more."""
-    rows = spark.createDataFrame(sorted(texts.items()), "license string, body string").withColumn("words", F.expr(tokens("body")))
-    sized = rows.select("license", "words", F.expr(f"cast(greatest({LEAST}, pow(2, ceil(log2(size(words))))) AS int) AS class"))
-    return sized.select("license", "class", F.expr(f"array_distinct({shingled('words')}) AS own")).where("size(own) > 0")
+    """(license, class, own, need): the distinct shingles of each template of five words or more, and the bands with which it is missed at most MISSED times."""
+    rows = shingled(spark.createDataFrame(sorted(texts.items()), "license string, body string"), "body")
+    sized = rows.select("license", F.expr(f"cast(greatest({LEAST}, pow(2, ceil(log2(size(words))))) AS int) AS class"), F.array_distinct("all").alias("own")).where("size(own) > 0")
+    matched = f"(({CONTAINED} * size(own) + 99) div 100)"
+    similar = f"{matched} / (2 * class - {K - 1} + size(own) - {matched})"
+    return sized.withColumn("need", F.expr(f"cast(ceil(ln({MISSED}D) / ln(1 - least(0.999D, {similar}))) AS int)"))
+
+
+def listed(values) -> str:
+    return ", ".join(f"{v}L" for v in sorted(values))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,26 +69,26 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, doc: str = "doc_i
     match. Null, empty and short texts hold none; repeated rows of one id count as one document.
     Templates are few and given by the caller, so they are broadcast.
     """
-    spark = docs.sparkSession
-    known = templates(spark, texts or TEMPLATES)
-    held = known.collect()
-    every = sorted({s for r in held for s in r.own})
-    classes = sorted({r["class"] for r in held})
-    rows = docs.select(F.col(doc).alias("doc_id"), F.expr(tokens(text)).alias("words")).select("doc_id", F.expr(shingled("words")).alias("all"))
-    # A text without any template's shingle matches none; this test reads each text once.
-    rows = rows.where(F.arrays_overlap("all", F.array(*map(F.lit, every))))
-    windows = None
-    for c in classes:
-        starts = F.expr(f"transform(sequence(0, (size(all) - 1) div {c}), j -> struct(j AS j, array_distinct(slice(all, j * {c} + 1, {2 * c - K + 1})) AS part))")
-        part = rows.select("doc_id", F.lit(c).alias("class"), F.explode(starts).alias("w")).select("doc_id", "class", "w.j", "w.part")
-        windows = part if windows is None else windows.unionByName(part)
-    windows = windows.where(F.arrays_overlap("part", F.array(*map(F.lit, every))))
-    signed = windows.withColumn("b", F.expr(bands("part"))).select("doc_id", "class", "j", "part", F.posexplode("b").alias("k", "low"))
-    stored = known.select("license", "class", "own", F.posexplode(F.expr(bands("own"))).alias("k", "low"))
+    known = templates(docs.sparkSession, texts or TEMPLATES)
+    kept = known.collect()
+    schema = "doc_id long, license string, n_matched long, n_template long, n_windows long"
+    if not kept:
+        return docs.sparkSession.createDataFrame([], schema)
+    rows = shingled(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "all")
+    # A window without any shingle of a template of its class matches none, so those around such shingles are enough.
+    rows = held(rows, "hits", f"filter(transform(all, (s, i) -> CASE WHEN s IN ({listed({s for r in kept for s in r.own})}) THEN i END), i -> i IS NOT NULL)").where("size(hits) > 0")
+    around = []
+    for c in sorted({r["class"] for r in kept}):
+        mine = f"filter(hits, i -> all[i] IN ({listed({s for r in kept if r['class'] == c for s in r.own})}))"
+        starts = f"filter(array_distinct(flatten(transform({mine}, i -> array(i div {c}, i div {c} - 1)))), j -> j >= 0)"
+        count = max(r.need for r in kept if r["class"] == c)
+        around.append(f"transform({starts}, j -> struct({c} AS class, j AS j, {count} AS n_bands, array_distinct(slice(all, cast(j * {c} + 1 AS int), {2 * c - K + 1})) AS part))")
+    windows = rows.select("doc_id", F.explode(F.expr(f"concat({', '.join(around)})")).alias("w")).select("doc_id", "w.*")
+    signed = windows.select("doc_id", "class", "j", "part", F.posexplode(F.expr(bands("part", "n_bands"))).alias("k", "low"))
+    stored = known.select("license", "class", "own", F.posexplode(F.expr(bands("own", "need"))).alias("k", "low"))
     met = signed.join(F.broadcast(stored), ["class", "k", "low"])
-    found = met.select("doc_id", "class", "j", "license", F.size("own").alias("n_template"), F.size(F.array_intersect("part", "own")).alias("n_matched"))
-    found = found.where(f"100 * n_matched >= {CONTAINED} * n_template")
-    once = found.groupBy("doc_id", "license", "n_template", "j").agg(F.max("n_matched").alias("n_matched"))
+    found = met.select("doc_id", "j", "license", F.size("own").alias("n_template"), F.size(F.array_intersect("part", "own")).alias("n_matched"))
+    once = found.groupBy("doc_id", "license", "n_template", "j").agg(F.max("n_matched").alias("n_matched")).where(f"100 * n_matched >= {CONTAINED} * n_template")
     return once.groupBy("doc_id", "license", "n_template").agg(F.max("n_matched").alias("n_matched"), F.count("*").alias("n_windows")).select("doc_id", "license", F.col("n_matched").cast("long"), F.col("n_template").cast("long"), "n_windows")
 
 
