@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ SPACE = "▁"
 FOLDS, HELD = 7, 2
 
 
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> tuple[dict[str, int], list[int], int]:
-    """Pieces by text, the ids of the 256 byte pieces, and the number of ids."""
+    """Pieces by text, the ids of the 256 byte pieces, and the number of ids. Read once by each Python worker."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -107,6 +109,13 @@ class Lattice:
                         into[self.letters[x]] += p
 
 
+@lru_cache(maxsize=2)
+def lattice_of(path: str, weight: bytes | None = None) -> Lattice:
+    """The lattice of a vocabulary with these log probabilities (None: the first weights). A worker keeps it, and so the words it has seen, from group to group."""
+    plain, letters, size = vocabulary(path)
+    return Lattice(plain, letters, first_weights(plain, letters, size) if weight is None else np.frombuffer(weight))
+
+
 def held(ids: list[int]) -> list[bool]:
     return [zlib.crc32(str(i).encode()) % FOLDS == HELD for i in ids]
 
@@ -159,8 +168,8 @@ def answer_words(path: str):
         for _, words, n in asked:
             for w, k in zip(words.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True):
                 total[w] = total.get(w, 0) + k
-        plain, letters, size = vocabulary(path)
-        lattice, uses = Lattice(plain, letters, first_weights(plain, letters, size)), np.zeros(size)
+        lattice = lattice_of(path)
+        uses = np.zeros(len(lattice.weight))
         for w, k in total.items():
             if k:
                 lattice.expect(w, k, uses)
@@ -209,14 +218,14 @@ def score(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -
     asked = texts.groupBy("g").applyInArrow(ask_words(groups), "g int, src int, words binary, n binary")
     answers = settle(asked.groupBy("g").applyInArrow(answer_words(path), "g int, b int, n binary, uses binary"))
     weight, end = piece_weights(answers, n_train, path)
+    weight = weight.tobytes()
     # Per bucket two numbers.
     pair = [np.frombuffer(r.n, np.int64) for r in answers.where("g = -1").select("n").toLocalIterator()]
     n_all = int(sum(p[0] for p in pair)) + n_train
     distinct = int(sum(p[1] for p in pair)) + (n_train > 0)
 
     def finish(key, text: pa.Table, replies: pa.Table) -> pa.Table:
-        plain, letters, _ = vocabulary(path)
-        lattice = Lattice(plain, letters, weight)
+        lattice = lattice_of(path, weight)
         by_doc = [count(tokens(x.as_py())) for x in text.column("data")]
         words = ordered(list({w for d in by_doc for w in d}), groups)
         n = dict(zip(replies.column("b").to_pylist(), replies.column("n").to_pylist(), strict=True))
