@@ -1,20 +1,21 @@
 """N-gram Jaccard join: a sparse product of the document by n-gram incidence matrix, in blocks.
 
-Rows of the matrix are documents, columns 5-word shingles. Only the entries that a pair of
-similar documents must share are multiplied: columns have one global order (rare ones by
-hash, then frequent ones by the logarithm of their number of rows), and of a row with n entries the first n - ceil(0.8 n) + 1 are enough.
-A block holds the columns of one hash bucket, and within it a column is cut by size classes.
-
-Products are taken in two rounds, so that a large group of copies costs rows in proportion
-to its size instead of pairs:
-
-1. In each column every row is multiplied with the most usual row of its size class, the one with the largest
-   part of frequent columns: among copies it is the one that the others were made from. Per row the partner
-   with the highest overlap count is verified on the full shingle sets, and verified links are joined to classes.
-2. Columns whose rows are all in one class are done. In the others rows try a few partners of other
-   classes in the same way, and then all pairs of rows of
-   different classes are multiplied, their overlap counts accumulate over the blocks, pairs below
-   the bound that the sizes allow are discarded, and the rest is verified on the full sets.
+Rows of the matrix are documents, columns 5-word shingles. Columns have one global order, by their number
+of rows, so that what only few documents have comes first. Two similar sets of nx and ny shingles share at
+least r = ceil(0.8 / 1.8 (nx + ny)) of them, and so at least FEW of the first nx - r + FEW of the one and the
+first ny - r + FEW of the other: only those entries are multiplied, and a pair is dropped when the
+overlap count accumulated over the blocks stays under FEW. Where an entry stands in its row thus gives the
+largest partner that it still can find, its reach.
+
+Exact copies are one row. Documents are worked on by groups, and a group sends one record for all its
+documents of a column, so a column that a third of all documents have is a record a group. The product is
+taken in two rounds, so that a large group of near copies costs rows in proportion to its size:
+
+1. In each column every row is multiplied with the row of its size that has the farthest reach: among
+   copies that is the one that the others were made from. Per row the partner with the highest
+   overlap count is verified on the full shingle sets, and verified links are joined to classes.
+2. Only rows of different classes are multiplied. A row travels only if the least size and
+   the farthest reach that other classes have in its column allow a partner.
 
 No pair that reaches the threshold can be missed: after round 2 each such pair is either
 within a class or was verified.
@@ -28,238 +29,425 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.components import components
-from almanac.llm.packed import back, by_group, deal, gather, pieces, scatter, schema, settle, split, total_bytes, tune, with_group
+from almanac.llm.packed import NULL_ID, back, by_group, deal, gather, kept, mix, pieces, scatter, schema, scratch, settle, total_bytes, tune, with_id
 from almanac.llm.words import shingles
 
 #: Similarity in hundredths, and words of a shingle.
 SIMILAR, K = 80, 5
-#: Part of the columns, by hash, whose rows are counted; the others come last in the order and are hardly reached.
-COUNTED = 0.4
-#: Columns with so many rows and more are ordered by the logarithm of their number, after all others.
-FREQUENT = 8
-#: Times that documents of mixed columns try one more partner before all remaining pairs are taken.
-TURNS = 3
-#: Ids below this number are broadcast (24 bytes each), above it they are joined by a shuffle.
-SMALL = 500_000
-
-
-def needed(n):
-    """Entries of n that a set may lack and still be similar to another, and one more."""
-    return n - -(-SIMILAR * n // 100) + 1
-
-
-def prefix(s: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first entries of a set in the global order, and how unusual the set is: per mille of its counted columns that are not frequent."""
-    if not len(s):
-        return s, 0
-    late = np.where(s < np.uint64(COUNTED * 2**64), 0, 255)
-    usual = 0
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        hit = frequent[at] == s
-        late[hit] = level[at[hit]]
-        usual = int(hit.sum())
-    counted = int((late < 255).sum())
-    s = s[np.lexsort((s, late))]
-    return s[: needed(len(s))], 1000 - 1000 * usual // max(1, counted)
-
-
-def sizes_and_frequent(texts: DataFrame, groups: int) -> DataFrame:
-    """Packed rows by the group of the documents: kind f has (document, frequent column, level), kind n documents and their set sizes."""
-
-    def count(batches):
-        for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = [shingles(x) for x in b.column("data").to_pylist()]
-            first = [s[: np.searchsorted(s, np.uint64(COUNTED * 2**64))] for s in sets]
-            h = np.concatenate([*first, np.empty(0, np.uint64)])
-            if len(h):
-                yield scatter((h % np.uint64(groups)).astype(np.int64), groups, {"a": h, "b": np.repeat(ids, [len(s) for s in first])})
-            if len(ids):
-                out = scatter(deal(ids, groups), groups, {"a": ids, "b": np.array([len(s) for s in sets], np.int64)})
-                yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + groups, pa.int32()), out.column(1), out.column(2)], names=["g", "a", "b"])
-
-    def reduce(key, table):
-        if key[0].as_py() >= groups:
-            a, b, none = gather(table, "a", np.int64).tobytes(), gather(table, "b", np.int64).tobytes(), pa.array([b""], pa.binary())
-            return pa.table({"g": pa.array([key[0].as_py() - groups], pa.int32()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary()), "c": none, "kind": ["n"]})
-        h, doc = gather(table, "a", np.uint64), gather(table, "b", np.int64)
-        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        n = n[at]
-        hot = n >= FREQUENT
-        out = scatter(deal(doc[hot], groups), groups, {"a": doc[hot], "b": h[hot], "c": np.log2(n[hot]).astype(np.uint8)})
-        return pa.Table.from_batches([out]).append_column("kind", pa.array(["f"] * out.num_rows, pa.string()))
-
-    return settle(texts.mapInArrow(count, schema("a", "b")).groupBy("g").applyInArrow(reduce, schema("a", "b", "c") + ", kind string"))
-
-
-def unpack(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Packed columns of 8-byte integers as rows."""
-    source = list(names)
-
-    def rows(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            yield pa.RecordBatch.from_arrays([pa.array(gather(t, c, np.int64)) for c in source], names=list(names.values()))
+#: Common entries of the shortened rows that a pair needs to be verified.
+FEW = 4
+#: Columns are counted by so many bits of their hash; those that share them are counted, and ordered, as one.
+BITS = np.uint64((1 << 40) - 1)
+#: Pairs that a task holds at once.
+LOT = 1 << 20
 
-    return df.select(*source).mapInArrow(rows, ", ".join(f"{c} long" for c in names.values()))
 
+def shared(nx, ny):
+    """Shingles that sets of these sizes have in common at least if they are similar."""
+    return -(-SIMILAR * (nx + ny) // (100 + SIMILAR))
 
-def columns_of(texts: DataFrame, known: DataFrame, groups: int) -> DataFrame:
-    """Columns with two rows or more, one packed row per block, in order of column, size class and how unusual a row is."""
 
-    def entries(key, text: pa.Table, replies: pa.Table) -> pa.Table:
-        frequent = split(replies, "f", {"a": np.int64, "b": np.uint64, "c": np.uint8})
-        none = (np.empty(0, np.uint64), np.empty(0, np.uint8))
-        h, doc, n, odd = [], [], [], []
-        for d, data in zip(text.column("doc_id").to_pylist(), text.column("data"), strict=True):
-            s = shingles(data.as_py())
-            f, level = frequent.get(d, none)
-            order = np.argsort(f, kind="stable")
-            p, unusual = prefix(s, f[order], level[order])
-            h.append(p), doc.append(np.full(len(p), d, np.int64)), n.append(np.full(len(p), len(s), np.int32)), odd.append(np.full(len(p), unusual, np.int16))
-        h = np.concatenate([*h, np.empty(0, np.uint64)])
-        columns = {"h": h, "doc": np.concatenate([*doc, np.empty(0, np.int64)]), "n": np.concatenate([*n, np.empty(0, np.int32)]), "odd": np.concatenate([*odd, np.empty(0, np.int16)])}
-        return pa.Table.from_batches([scatter((h % np.uint64(groups)).astype(np.int64), groups, columns)])
-
-    def reduce(key, table):
-        h, doc, n, odd = gather(table, "h", np.uint64), gather(table, "doc", np.int64), gather(table, "n", np.int32), gather(table, "odd", np.int16)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        shared = np.zeros(len(h), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        order = order[shared]
-        h, doc, n, odd = h[order], doc[order], n[order], odd[order]
-        order = np.lexsort((doc, n, odd, size_class(n), h))
-        pack = lambda x: pa.array([x[order].tobytes()], pa.binary())
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "h": pack(h), "doc": pack(doc), "n": pack(n.astype(np.int64))})
-
-    asked = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(entries, schema("h", "doc", "n", "odd"))
-    return settle(asked.groupBy("g").applyInArrow(reduce, schema("h", "doc", "n")))
+def reach(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The largest set that can be similar to one of n entries if their first common entry stands at `at` of it, FEW - 1 of grace."""
+    return (100 + SIMILAR) * (n - at + FEW - 1) // SIMILAR - n
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / SIMILAR)).astype(np.int64)
 
 
-def best_partners(columns: DataFrame, groups: int) -> DataFrame:
-    """(x, hub, n): per document the first row of its size class that it meets most often."""
+def fits(n: np.ndarray, far: np.ndarray, m: np.ndarray, far2: np.ndarray) -> np.ndarray:
+    """Whether rows of sizes n and m that meet in a column can be similar, given their reaches there."""
+    return (m <= far) & (n <= far2) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
 
-    def stars(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            h, doc, n = gather(t, "h", np.uint64), gather(t, "doc", np.int64), gather(t, "n", np.int64)
-            if not len(h):
+
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted arrays."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def packed(table: pa.Table, **columns) -> list[np.ndarray]:
+    """Packed columns of all rows, one array each."""
+    return [gather(table, c, t) for c, t in columns.items()]
+
+
+def sourced(group: np.ndarray, groups: int, src: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """As scatter, with the group that sends."""
+    out = scatter(group, groups, columns)
+    return pa.Table.from_batches([out]).append_column("src", pa.array([src] * out.num_rows, pa.int32()))
+
+
+def per_source(table: pa.Table, **columns):
+    """Packed columns of all rows, and for each entry the number of the row that it came in; the rows' sources."""
+    arrays = packed(table, **columns)
+    first, kind = next(iter(columns.items()))
+    sizes = [len(x) // np.dtype(kind).itemsize for x in table.column(first).to_pylist()]
+    return arrays, np.repeat(np.arange(len(sizes)), sizes), np.array(table.column("src").to_pylist(), np.int64)
+
+
+def replied(src: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """One row for each group that gets something."""
+    order = np.argsort(src, kind="stable")
+    at = starts(src[order])
+    cuts = [*at.tolist(), len(src)]
+    arrays = [pa.array(src[order][at].astype(np.int32))]
+    for c in columns.values():
+        c = np.ascontiguousarray(c[order])
+        arrays.append(pa.array([c[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    return pa.table(arrays, names=["g", *columns])
+
+
+def grouped(docs: DataFrame, groups: int, doc: str, text: str) -> DataFrame:
+    """(g, doc_id, data, same): documents by group; `same` is equal for equal texts."""
+    rows = with_id(docs, doc, text).select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "data", F.unhex(F.md5("data")).alias("same"))
+    return by_group(rows, groups)
+
+
+def copies_of(texts: DataFrame) -> DataFrame:
+    """(g, doc_id, same, first): rows whose text a smaller doc_id has too, the least of them in `first`. Texts without words are no copies."""
+    rows = texts.where(F.col("data").cast("string").rlike(r"[^\x20\x09-\x0D]")).select("g", "doc_id", "same")
+    first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
+    return settle(rows.join(first, "same").where("doc_id > first").select("g", "doc_id", "same", "first"))
+
+
+def sets_of(text: pa.Table, copies: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """(doc_id, shingles) of a group's rows that are no copies, equal rows once."""
+    gone = set(zip(copies.column("doc_id").to_pylist(), copies.column("same").to_pylist(), strict=True))
+    out = []
+    for d, same, data in zip(text.column("doc_id").to_pylist(), text.column("same").to_pylist(), text.column("data"), strict=True):
+        if (d, same) not in gone:
+            gone.add((d, same))
+            out.append((d, shingles(data.as_py(), K)))
+    return out
+
+
+def counted(texts: DataFrame, copies: DataFrame, groups: int) -> DataFrame:
+    """Packed replies (low, high, level) by group: the columns of its documents that have two rows or more."""
+
+    def ask(key, text: pa.Table, gone: pa.Table) -> pa.Table:
+        sets = [s & BITS for _, s in sets_of(text, gone)]
+        h, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        columns = {"low": h.astype(np.uint32), "high": (h >> np.uint64(32)).astype(np.uint8), "n": np.minimum(n, 2**32 - 1).astype(np.uint32)}
+        return sourced((h % np.uint64(groups)).astype(np.int64), groups, key[0].as_py(), columns)
+
+    def answer(table: pa.Table) -> pa.Table:
+        (low, high, n), row, src = per_source(table, low=np.uint32, high=np.uint8, n=np.uint32)
+        h = (high.astype(np.uint64) << np.uint64(32)) | low
+        _, at = np.unique(h, return_inverse=True)
+        total = np.bincount(at, n).astype(np.int64)[at] if len(h) else n.astype(np.int64)
+        some = total > 1
+        level = np.minimum(255, 8 * np.log2(np.maximum(total[some], 1))).astype(np.uint8)
+        return replied(src[row[some]], {"low": low[some], "high": high[some], "level": level})
+
+    asked = texts.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(ask, schema("low", "high", "n") + ", src int")
+    return asked.groupBy("g").applyInArrow(answer, schema("low", "high", "level"))
+
+
+def entries(texts: DataFrame, copies: DataFrame, groups: int) -> DataFrame:
+    """Packed by group: the entries of shortened rows in shared columns (h, doc, n, far), and the size of each row (own, size)."""
+    levels = counted(texts, copies, groups)
+    none = F.lit(None).cast("binary")
+    known = copies.select("g", "doc_id", "same", *(none.alias(c) for c in ("low", "high", "level"))).unionByName(levels.withColumns({"doc_id": F.lit(None).cast("long"), "same": none}))
+
+    def cut(key, text: pa.Table, replies: pa.Table) -> pa.Table:
+        gone = set(zip(replies.column("doc_id").to_pylist(), replies.column("same").to_pylist(), strict=True))
+        low, high, level = packed(replies, low=np.uint32, high=np.uint8, level=np.uint8)
+        known = (high.astype(np.uint64) << np.uint64(32)) | low
+        order = np.argsort(known)
+        known, level = known[order], level[order]
+        h, doc, n, far = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        own, sizes, seen = text.column("doc_id").to_numpy(), [], {}
+        for d, same, data in zip(own.tolist(), text.column("same").to_pylist(), text.column("data"), strict=True):
+            if (d, same) in gone and same in seen:
+                sizes.append(seen[same])
                 continue
-            size = size_class(n)
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
-            # The first row of the class below is tried too: similar sizes can lie on either side of an edge.
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            col = np.ones(len(h), bool)
-            col[1:] = h[1:] != h[:-1]
-            before = np.maximum(start - 1, 0)
-            before = np.where(col[start] | (size[before] != size - 1), start, start[before])
-            x, hub, nn = [], [], []
-            for to in (start, before):
-                ok = (doc[to] != doc) & (100 * np.minimum(n[to], n) >= SIMILAR * np.maximum(n[to], n))
-                x.append(doc[ok]), hub.append(doc[to][ok]), nn.append(n[ok])
-            x, hub, nn = map(np.concatenate, (x, hub, nn))
-            if not len(x):
+            s = shingles(data.as_py(), K)
+            size = seen[same] = len(s)
+            sizes.append(size)
+            if (d, same) in gone or not len(known) or not size:
                 continue
-            order = np.lexsort((hub, x))
-            x, hub, nn = x[order], hub[order], nn[order]
-            first = np.ones(len(x), bool)
-            first[1:] = (x[1:] != x[:-1]) | (hub[1:] != hub[:-1])
-            at = np.flatnonzero(first)
-            yield scatter(deal(x[at], groups), groups, {"x": x[at], "hub": hub[at], "n": nn[at], "c": np.diff(np.append(at, len(x)))})
-
-    def best(key, table):
-        x, hub, n, c = (gather(table, k, np.int64) for k in ("x", "hub", "n", "c"))
+            gone.add((d, same))
+            low = s & BITS
+            at = np.minimum(np.searchsorted(known, low), len(known) - 1)
+            of = np.where(known[at] == low, level[at], 0)
+            alone = int((of == 0).sum())
+            most = size - shared(size, -(-SIMILAR * size // 100)) + FEW
+            if alone < most:
+                order = np.lexsort((s, of))[alone:most]
+                h.append(s[order]), doc.append(np.full(len(order), d, np.int64)), n.append(np.full(len(order), size, np.int64))
+                far.append(reach(size, np.arange(alone, alone + len(order))))
+        h, doc, n, far = map(np.concatenate, (h, doc, n, far))
+        out = {"h": h, "doc": doc, "n": n, "far": far, "own": own.astype(np.int64), "size": np.array(sizes, np.int64)}
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in out.items()}})
+
+    return settle(texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cut, schema("h", "doc", "n", "far", "own", "size")))
+
+
+def sizes_of(entries_: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles), a row for each row."""
+
+    def rows(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            own, size = packed(t, own=np.int64, size=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size)], names=["doc_id", "n_shingles"])
+
+    return entries_.select("own", "size").mapInArrow(rows, "doc_id long, n_shingles long")
+
+
+def each_once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (h, row)."""
+    order = np.lexsort((row, h))
+    at = order[starts(h[order], row[order])]
+    return h[at], row[at]
+
+
+def table_of(**columns: np.ndarray) -> pa.Table:
+    return pa.table({k: pa.array(v) for k, v in columns.items()})
+
+
+def best_partners(entries_: DataFrame, groups: int) -> DataFrame:
+    """(x, hub): per document the row of farthest reach among those of its size that it meets most often."""
+
+    def ask(key, table):
+        h, doc, n, far = packed(table, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64)
+        size = size_class(n)
+        order = np.lexsort((doc, -far, size, h))
+        h, doc, n, far, size = (c[order] for c in (h, doc, n, far, size))
+        at = starts(h, size)
+        return sourced((h[at] % np.uint64(groups)).astype(np.int64), groups, key[0].as_py(), {"h": h[at], "doc": doc[at], "n": n[at], "far": far[at]})
+
+    def answer(table: pa.Table) -> pa.Table:
+        (h, doc, n, far), row, src = per_source(table, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64)
+        size = size_class(n)
+        order = np.lexsort((doc, -far, size, h))
+        at = order[starts(h[order], size[order])]
+        # Every group gets the first row of each size in the columns that it has.
+        mine, to = each_once(h, row)
+        lo, hi = np.searchsorted(h[at], mine), np.searchsorted(h[at], mine, "right")
+        each = hi - lo
+        pick = at[np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        return replied(np.repeat(src[to], each), {"h": h[pick], "doc": doc[pick], "n": n[pick], "far": far[pick]})
+
+    def best(key, table: pa.Table, replies: pa.Table) -> pa.Table:
+        h, doc, n, far = packed(table, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64)
+        h2, doc2, n2, far2 = packed(replies, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64)
+        order = np.lexsort((n2, h2))
+        h2, doc2, n2, far2 = h2[order], doc2[order], n2[order], far2[order]
+        lo, hi = np.searchsorted(h2, h), np.searchsorted(h2, h, "right")
+        x, hub = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(int((hi - lo).max()) if len(h) else 0):
+            i = np.flatnonzero(lo + step < hi)
+            j = lo[i] + step
+            ok = (doc[i] != doc2[j]) & fits(n[i], far[i], n2[j], far2[j])
+            x.append(doc[i[ok]]), hub.append(doc2[j[ok]])
+        x, hub = np.concatenate(x), np.concatenate(hub)
         order = np.lexsort((hub, x))
-        x, hub, n, c = x[order], hub[order], n[order], c[order]
-        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (hub[1:] != hub[:-1])))
-        c = np.add.reduceat(c, at)
-        x, hub, n = x[at], hub[at], n[at]
-        order = np.lexsort((hub, -c, x))
-        x, hub, n = x[order], hub[order], n[order]
-        one = np.append(True, x[1:] != x[:-1])
-        return pa.table({"x": x[one], "hub": hub[one], "n": n[one]})
-
-    return settle(columns.mapInArrow(stars, schema("x", "hub", "n", "c")).groupBy("g").applyInArrow(best, "x long, hub long, n long"))
-
-
-def fetch(docs: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """Documents that `wanted` (settled) asks for; broadcast only when it is counted and small."""
-    small = wanted.count() <= SMALL
-    return docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted[on])
-
-
-def verify(docs: DataFrame, pairs: DataFrame, groups: int, words_each: int = 200_000) -> DataFrame:
-    """(x, hub) of those (x, hub, n) that are similar. The partners of a hub are cut into lots of about `words_each` shingles."""
-    lots = pairs.groupBy("hub").agg((F.floor(F.sum("n") / words_each) + 1).alias("lots"))
-    dealt = pairs.join(lots, "hub").select("hub", "x", F.pmod(F.xxhash64("x"), "lots").alias("lot"))
-    want = settle(dealt.select(F.col("x").alias("id"), "hub", "lot").unionByName(dealt.select(F.col("hub").alias("id"), "hub", "lot").distinct()))
-    rows = fetch(docs, want, "id").select(F.pmod(F.xxhash64("hub", "lot"), F.lit(4 * groups)).cast("int").alias("g"), "hub", "lot", F.col("id"), "data")
-
-    def check(table: pa.Table) -> pa.Table:
-        hub, lot, ids = (table.column(c).to_numpy() for c in ("hub", "lot", "id"))
-        data = table.column("data")
-        order = np.lexsort((ids != hub, lot, hub))
-        out_x, out_hub, at, mine = [], [], None, []
-        for i in order:
-            if (hub[i], lot[i]) != at:
-                at, mine = (hub[i], lot[i]), []
-            s = shingles(data[i].as_py())
-            if ids[i] == hub[i]:
-                mine.append(s)
-            elif any(len(s) and 100 * (both := len(np.intersect1d(s, m, assume_unique=True))) >= SIMILAR * (len(s) + len(m) - both) for m in mine):
-                out_x.append(ids[i]), out_hub.append(hub[i])
-        return pa.table({"x": pa.array(out_x, pa.int64()), "hub": pa.array(out_hub, pa.int64())})
-
-    return settle(rows.groupBy("g").applyInArrow(check, "x long, hub long"))
-
-
-def mixed_rows(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, doc, n, c, size) of the columns whose rows are of different classes c."""
-    rows = unpack(columns, {"h": "h", "doc": "doc", "n": "n"}).join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    rows = settle(rows)
-    mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    return settle(rows.join(mixed, "h").withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / SIMILAR)))))
-
-
-def few_pairs(rows: DataFrame, each: int = 10) -> bool:
-    """Whether taking all pairs of the mixed columns makes at most `each` products per entry."""
-    per = rows.groupBy("h", "size").agg(F.count("*").cast("double").alias("k"))
-    n, pairs = per.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum(F.col("k") * F.col("k") / 2), F.lit(0.0))).first()
-    return pairs <= each * n
-
-
-def other_partners(rows: DataFrame, turn: int) -> DataFrame:
-    """(x, hub, n): per document of a mixed column the row of another class that it meets most often among one row drawn from each column."""
-    drawn = rows.groupBy("h", "size").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), F.col("doc").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"))).alias("d")).select("h", "size", "d.*")
-    met = rows.join(drawn, ["h", "size"]).where(f"c <> hub_c and 100 * least(n, hub_n) >= {SIMILAR} * greatest(n, hub_n)")
-    count = met.groupBy("doc", "hub", "n").agg(F.count("*").alias("k"))
-    best = count.groupBy("doc", "n").agg(F.max(F.struct(F.col("k"), (-F.col("hub")).alias("hub"))).alias("b"))
-    return settle(best.select(F.col("doc").alias("x"), (-F.col("b.hub")).alias("hub"), "n"))
-
-
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """(x, hub, n): pairs of documents of different classes whose accumulated overlap can still reach the bound."""
-    a = rows.select("h", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    b = rows.select("h", "size", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    met = a.join(b, ["h", "size"]).where(f"cx <> cy and (nx < ny or (nx = ny and x < y)) and 100 * nx >= {SIMILAR} * ny")
-    count = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("overlap"))
-    # Of either set at least one prefix is spent, so the overlap grows by the longer rest at most.
-    most = f"(overlap + ({SIMILAR} * greatest(nx, ny) + 99) div 100 - 1)"
-    bound = f"100 * {most} >= {SIMILAR} * (nx + ny - {most})"
-    return settle(count.where(bound).select(F.col("x"), F.col("y").alias("hub"), F.col("nx").alias("n")))
-
-
-def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes after more links."""
-    return components(labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(links), "x", "hub")
+        x, hub = x[order], hub[order]
+        at = starts(x, hub)
+        count = np.diff(np.append(at, len(x)))
+        order = np.lexsort((hub[at], -count, x[at]))
+        x, hub = x[at][order], hub[at][order]
+        first = starts(x)
+        return table_of(x=x[first], hub=hub[first])
+
+    asked = entries_.groupBy("g").applyInArrow(ask, schema("h", "doc", "n", "far") + ", src int")
+    hubs = asked.groupBy("g").applyInArrow(answer, schema("h", "doc", "n", "far"))
+    return entries_.groupBy("g").cogroup(hubs.groupBy("g")).applyInArrow(best, "x long, hub long")
+
+
+def verify(texts: DataFrame, pairs: DataFrame, groups: int) -> DataFrame:
+    """Packed pairs (x, hub), by the group of x: those that are similar, as rows (x, hub). A hub's text goes once to each group that asks for it."""
+
+    def ask(key, table):
+        (hub,) = packed(table, hub=np.int64)
+        hub = np.unique(hub)
+        return sourced(deal(hub, groups).astype(np.int64), groups, key[0].as_py(), {"hub": hub})
+
+    def give(key, text: pa.Table, wanted: pa.Table) -> pa.Table:
+        (hub,), row, src = per_source(wanted, hub=np.int64)
+        order = np.argsort(hub, kind="stable")
+        hub, to = hub[order], src[row[order]]
+        out = {"g": [], "doc_id": [], "data": []}
+        for d, data in zip(text.column("doc_id").to_pylist(), text.column("data"), strict=True):
+            lo, hi = np.searchsorted(hub, d), np.searchsorted(hub, d, "right")
+            if lo < hi:
+                data = data.as_py()
+                out["g"] += to[lo:hi].tolist()
+                out["doc_id"] += [d] * int(hi - lo)
+                out["data"] += [data] * int(hi - lo)
+        return pa.table({"g": pa.array(out["g"], pa.int32()), "doc_id": pa.array(out["doc_id"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
+
+    none = F.lit(None).cast("binary")
+    wanted = pairs.groupBy("g").applyInArrow(ask, schema("hub") + ", src int")
+    given = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(give, "g int, doc_id long, data binary")
+    replies = given.select("g", "doc_id", "data", none.alias("x"), none.alias("hub")).unionByName(pairs.select("g", F.lit(None).cast("long").alias("doc_id"), none.alias("data"), "x", "hub"))
+
+    def check(key, text: pa.Table, replies: pa.Table) -> pa.Table:
+        x, hub = packed(replies, x=np.int64, hub=np.int64)
+        wanted, theirs, mine = set(x.tolist()), {}, {}
+        for rows, out, some in ((text, mine, wanted), (replies, theirs, None)):
+            for d, data in zip(rows.column("doc_id").to_pylist(), rows.column("data"), strict=True):
+                if d is not None and (some is None or d in some):
+                    out.setdefault(d, []).append(shingles(data.as_py(), K))
+        ok = [any(similar(a, b) for a in mine.get(i, ()) for b in theirs.get(j, ())) for i, j in zip(x.tolist(), hub.tolist(), strict=True)]
+        ok = np.array(ok, bool)
+        return table_of(x=x[ok], hub=hub[ok])
+
+    return settle(texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(check, "x long, hub long"))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def packed_pairs(pairs: DataFrame, groups: int) -> DataFrame:
+    """Pairs (x, hub) packed by the group of x."""
+
+    def pack(batches):
+        for b in batches:
+            x, hub = b.column("x").to_numpy(zero_copy_only=False), b.column("hub").to_numpy(zero_copy_only=False)
+            if len(x):
+                yield scatter(deal(x, groups), groups, {"x": x, "hub": hub})
+
+    return pairs.mapInArrow(pack, schema("x", "hub"))
+
+
+def two_best(h: np.ndarray, c: np.ndarray, value: np.ndarray):
+    """Per h the least value, its class, and the least value of any other class (NULL_ID if there is none). h is sorted; one row per (h, c)."""
+    order = np.lexsort((c, value, h))
+    h, c, value = h[order], c[order], value[order]
+    at = starts(h)
+    size = np.diff(np.append(at, len(h)))
+    return value[at], c[at], np.where(size > 1, value[np.minimum(at + 1, len(h) - 1)], NULL_ID)
+
+
+def cross_pairs(entries_: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
+    """Packed pairs (x, hub) of documents of different classes whose accumulated overlap is FEW at least, by the group of x."""
+    none = F.lit(None).cast("binary")
+    labels = labels.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("g"), "node", "component")
+
+    def classed(table: pa.Table, known: pa.Table):
+        h, doc, n, far = packed(table, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64)
+        known = known.filter(pa.compute.is_valid(known.column("node")))
+        node, of = known.column("node").to_numpy(), known.column("component").to_numpy()
+        order = np.argsort(node)
+        node, of = node[order], of[order]
+        at = np.minimum(np.searchsorted(node, doc), len(node) - 1)
+        return h, doc, n, far, np.where(node[at] == doc, of[at], doc) if len(node) else doc
+
+    def ask(key, table: pa.Table, known: pa.Table) -> pa.Table:
+        h, doc, n, far, c = classed(table, known)
+        order = np.lexsort((c, h))
+        h, n, far, c = h[order], n[order], far[order], c[order]
+        at = starts(h, c)
+        least, most = (np.minimum.reduceat(n, at), np.maximum.reduceat(far, at)) if len(at) else (n, far)
+        return sourced((h[at] % np.uint64(groups)).astype(np.int64), groups, key[0].as_py(), {"h": h[at], "c": c[at], "least": least, "most": most})
+
+    def answer(table: pa.Table) -> pa.Table:
+        (h, c, least, most), row, src = per_source(table, h=np.uint64, c=np.int64, least=np.int64, most=np.int64)
+        order = np.lexsort((c, h))
+        at = starts(h[order], c[order])
+        if len(at):
+            hh, cc = h[order][at], c[order][at]
+            n1, c1, n2 = two_best(hh, cc, np.minimum.reduceat(least[order], at))
+            f1, d1, f2 = two_best(hh, cc, -np.maximum.reduceat(most[order], at))
+            one = np.unique(hh)
+        else:
+            one = h
+            n1 = c1 = n2 = f1 = d1 = f2 = c
+        mixed = n2 < NULL_ID
+        one, n1, c1, n2, f1, d1, f2 = (v[mixed] for v in (one, n1, c1, n2, f1, d1, f2))
+        mine, to = each_once(h, row)
+        k = np.minimum(np.searchsorted(one, mine), max(0, len(one) - 1))
+        ok = one[k] == mine if len(one) else np.zeros(len(mine), bool)
+        k, to = k[ok], src[to[ok]]
+        return replied(to, {"h": one[k], "n1": n1[k], "c1": c1[k], "n2": n2[k], "f1": -f1[k], "d1": d1[k], "f2": -f2[k]})
+
+    def travel(key, table: pa.Table, known: pa.Table) -> pa.Table:
+        h, doc, n, far, c = classed(table, known)
+        one, n1, c1, n2, f1, d1, f2 = packed(known, h=np.uint64, n1=np.int64, c1=np.int64, n2=np.int64, f1=np.int64, d1=np.int64, f2=np.int64)
+        order = np.argsort(one)
+        one, n1, c1, n2, f1, d1, f2 = (v[order] for v in (one, n1, c1, n2, f1, d1, f2))
+        k = np.minimum(np.searchsorted(one, h), max(0, len(one) - 1))
+        ok = (one[k] == h) & (np.where(c1[k] == c, n2[k], n1[k]) <= far) & (np.where(d1[k] == c, f2[k], f1[k]) >= n) if len(one) else np.zeros(len(h), bool)
+        h, doc, n, far, c = h[ok], doc[ok], n[ok], far[ok], c[ok]
+        # A block is a column and a size; rows meet those of their size and, as partners, those of the next larger.
+        size = size_class(n)
+        group = mix(np.concatenate([h, h]) ^ np.concatenate([size, size + 1]).astype(np.uint64)) % np.uint64(groups)
+        both = {k: np.concatenate([v, v]) for k, v in {"h": h, "doc": doc, "n": n, "far": far, "c": c}.items()}
+        both |= {"size": np.concatenate([size, size + 1]).astype(np.int16), "own": np.repeat(np.array([1, 0], np.uint8), len(h))}
+        return pa.Table.from_batches([scatter(group.astype(np.int64), groups, both)])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        h, doc, n, far, c, size, own = packed(table, h=np.uint64, doc=np.int64, n=np.int64, far=np.int64, c=np.int64, size=np.int16, own=np.uint8)
+        order = np.lexsort((n, size, h))
+        h, doc, n, far, c, size, own = (v[order] for v in (h, doc, n, far, c, size, own))
+        at = starts(h, size)
+        block = np.zeros(len(h), np.int64)
+        block[at[1:]] = 1
+        block = np.cumsum(block)
+        # Rows in order of size within their block: the partners of a row as large or larger are a stretch that its reach ends.
+        top = np.int64(int(max(n.max(initial=0), far.max(initial=0))) + 2)
+        place = block * top + n
+        hi = np.searchsorted(place, block * top + np.clip(np.minimum(far, 100 * n // SIMILAR), 0, top - 1), "right")
+        lo = np.arange(len(h)) + 1
+        each = np.maximum(0, hi - lo)
+        found = {}
+        ends = np.cumsum(each)
+        i = 0
+        while i < len(h):
+            done = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, done + LOT, "right")))
+            k = each[i:j]
+            a = np.repeat(np.arange(i, j), k)
+            b = np.repeat(lo[i:j] - (ends[i:j] - k), k) + np.arange(k.sum()) + done
+            ok = (c[a] != c[b]) & (n[a] <= far[b]) & (doc[a] != doc[b]) & ((own[a] > 0) | (own[b] > 0))
+            a, b = a[ok], b[ok]
+            x, y = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+            nx, ny = np.where(doc[a] < doc[b], n[a], n[b]), np.where(doc[a] < doc[b], n[b], n[a])
+            order = np.lexsort((ny, nx, y, x))
+            x, y, nx, ny = x[order], y[order], nx[order], ny[order]
+            s = starts(x, y, nx, ny)
+            for key, m in zip(zip(x[s].tolist(), y[s].tolist(), nx[s].tolist(), ny[s].tolist(), strict=True), np.diff(np.append(s, len(x))).tolist(), strict=True):
+                found[key] = found.get(key, 0) + m
+            i = j
+        rows = np.array([(*k, m) for k, m in found.items()], np.int64).reshape(-1, 5)
+        group = mix(rows[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(rows[:, 1].astype(np.uint64))) % np.uint64(groups)
+        return pa.Table.from_batches([scatter(group.astype(np.int64), groups, {k: rows[:, i] for i, k in enumerate(("x", "y", "nx", "ny", "overlap"))})])
+
+    def accumulate(table: pa.Table) -> pa.Table:
+        x, y, nx, ny, m = packed(table, x=np.int64, y=np.int64, nx=np.int64, ny=np.int64, overlap=np.int64)
+        order = np.lexsort((ny, nx, y, x))
+        x, y, nx, ny, m = (v[order] for v in (x, y, nx, ny, m))
+        at = starts(x, y, nx, ny)
+        m = np.add.reduceat(m, at) if len(at) else m
+        ok = m >= np.minimum(FEW, shared(nx[at], ny[at]))
+        x, y = x[at][ok], y[at][ok]
+        # The one of more pairs is the hub.
+        ids, k = np.unique(np.concatenate([x, y]), return_inverse=True)
+        count = np.bincount(k, minlength=len(ids))
+        swap = count[k[: len(x)]] > count[k[len(x) :]]
+        a, b = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.Table.from_batches([scatter(deal(a, groups), groups, {"x": a, "hub": b})])
+
+    names = ("h", "n1", "c1", "n2", "f1", "d1", "f2")
+    by = entries_.groupBy("g")
+    asked = by.cogroup(labels.groupBy("g")).applyInArrow(ask, schema("h", "c", "least", "most") + ", src int")
+    replies = asked.groupBy("g").applyInArrow(answer, schema(*names))
+    known = labels.select("g", "node", "component", *(none.alias(c) for c in names)).unionByName(replies.withColumns({"node": F.lit(None).cast("long"), "component": F.lit(None).cast("long")}))
+    rows = by.cogroup(known.groupBy("g")).applyInArrow(travel, schema("h", "doc", "n", "far", "c", "size", "own"))
+    products = rows.groupBy("g").applyInArrow(multiply, schema("x", "y", "nx", "ny", "overlap"))
+    return settle(products.groupBy("g").applyInArrow(accumulate, schema("x", "hub")))
 
 
 def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,23 +457,21 @@ def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     document in the graph; a null id is treated as one id after all others and returned as null.
     Columns other than the two named are ignored.
     """
-    tune(docs.sparkSession)
-    groups = pieces(total_bytes(docs, text))
-    texts = by_group(with_group(docs, groups, doc, text), groups)
-    docs = texts.select("doc_id", "data")
-    first = sizes_and_frequent(texts, groups)
-    columns = columns_of(texts, first.where("kind = 'f'"), groups)
-    links = verify(docs, best_partners(columns, groups), groups)
-    labels = components(links, "x", "hub")
-    rows = mixed_rows(columns, labels)
-    for turn in range(TURNS):
-        if few_pairs(rows):
-            break
-        labels = merge(labels, verify(docs, other_partners(rows, turn), groups))
-        rows = mixed_rows(columns, labels)
-    labels = merge(labels, verify(docs, cross_pairs(rows), groups))
-    sizes = unpack(first.where("kind = 'n'"), {"a": "doc_id", "b": "n_shingles"})
-    return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c")).select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    spark = docs.sparkSession
+    tune(spark)
+    with scratch(spark):
+        groups = pieces(total_bytes(docs, text))
+        texts = grouped(docs, groups, doc, text)
+        copies = copies_of(texts)
+        found = entries(texts, copies, groups)
+        first = verify(texts, packed_pairs(best_partners(found, groups), groups), groups)
+        labels = components(first, "x", "hub")
+        more = verify(texts, cross_pairs(found, labels, groups), groups)
+        links = labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(more).unionByName(copies.select(F.col("doc_id").alias("x"), F.col("first").alias("hub")))
+        labels = components(links, "x", "hub")
+        sizes = sizes_of(found)
+        out = sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c"))
+        return kept(out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

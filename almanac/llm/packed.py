@@ -2,16 +2,16 @@
 
 A task turns its rows into numpy columns, deals them into buckets by a hash and emits
 one row per bucket whose columns are the raw bytes of those arrays. Spark shuffles the
-rows by bucket and each bucket is a bounded piece of work: the number of buckets follows
-the size of the input, the key is a hash of content, so a hot document, source or group
-does not gather in one bucket.
+rows by bucket, and the number of buckets follows the size of the input. Equal content meets in
+one bucket, so operators combine what is equal within a group of documents before they send it: a
+value that a third of all rows have is one record a group then.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,30 +23,63 @@ NULL_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster without one is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs, which it does on garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """The intermediate tables of one operator. Within `with scratch(spark)`, settle and by_group note what they write; it goes at the end, also after an error."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for at in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths, self.tables = [], []
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """An operator's own scratch. What it returns must be kept by `kept`, which writes outside it."""
+    mine = Scratch(spark)
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.remove(mine)
+        mine.clear()
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(at)
+    at = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths.append(at)
+    return written(df, at)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """An operator's result, written beside its scratch: small records, not texts. It stays in the shared folder."""
+    return written(df, f"{shared_dir(df.sparkSession)}/result-{uuid.uuid4().hex}")
 
 
 def by_group(df: DataFrame, groups: int, key: str = "g") -> DataFrame:
@@ -56,16 +89,19 @@ def by_group(df: DataFrame, groups: int, key: str = "g") -> DataFrame:
     """
     spark = df.sparkSession
     name = f"grouped_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}"
+    if _open:
+        _open[-1].paths.append(at)
+        _open[-1].tables.append(name)
     (
         df.repartition(groups, key)
         .write.bucketBy(groups, key)
         .sortBy(key)
         .option("compression", "zstd")
-        .option("path", f"{shared_dir(spark)}/{name}")
+        .option("path", at)
         .format("parquet")
         .saveAsTable(name)
     )
-    release(spark)
     return spark.table(name)
 
 
@@ -78,9 +114,9 @@ def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def pieces(size: int, each: int = 8 << 20, least: int = 64) -> int:
-    """How many buckets keep one near `each` bytes."""
-    return max(least, -(-size // each))
+def pieces(size: int, each: int = 8 << 20, least: int = 64, most: int = 100_000) -> int:
+    """How many buckets keep one near `each` bytes. Spark allows `most` buckets of a table; beyond 0.8 TB of text buckets grow instead."""
+    return min(most, max(least, -(-size // each)))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

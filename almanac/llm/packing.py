@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.llm.packed import settle, tune
+from almanac.llm.packed import kept, tune
 
 CAPACITY, SHORTEST, END = 4096, 64, 2
 #: Words whose ids a task remembers.
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     file must be readable at `path` on every worker.
     """
     tune(docs.sparkSession)
-    made = settle(pieces(docs, path))
+    made = kept(pieces(docs, path))
     tasks = made.groupBy("class", "task").agg(F.count("*").alias("n"))
     ahead = W.partitionBy("class").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     tasks = tasks.select("class", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), F.sum("n").over(W.partitionBy("class")).alias("all"))
