@@ -109,19 +109,18 @@ def grouped(docs: DataFrame, groups: int, doc: str, text: str) -> DataFrame:
 
 
 def copies_of(texts: DataFrame) -> DataFrame:
-    """(g, doc_id, same, first): rows whose text a smaller doc_id has too, the least of them in `first`. Texts without words are no copies."""
-    rows = texts.where(F.col("data").cast("string").rlike(r"[^\x20\x09-\x0D]")).select("g", "doc_id", "same")
-    first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
-    return settle(rows.join(first, "same").where("doc_id > first").select("g", "doc_id", "same", "first"))
+    """(g, same, first): texts that several rows have, with the least doc_id that has them, once for each group that holds one: a text that a third of all rows have is one record a group."""
+    rows = texts.where(F.col("data").cast("string").rlike(r"[^\x20\x09-\x0D]")).groupBy("g", "same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    first = rows.groupBy("same").agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1").select("same", "first")
+    return settle(rows.select("g", "same").join(first, "same").select("g", "same", "first"))
 
 
 def sets_of(text: pa.Table, copies: pa.Table) -> list[tuple[int, np.ndarray]]:
     """(doc_id, shingles) of a group's rows that are no copies, equal rows once."""
-    gone = set(zip(copies.column("doc_id").to_pylist(), copies.column("same").to_pylist(), strict=True))
-    out = []
+    first, done, out = dict(zip(copies.column("same").to_pylist(), copies.column("first").to_pylist(), strict=True)), set(), []
     for d, same, data in zip(text.column("doc_id").to_pylist(), text.column("same").to_pylist(), text.column("data"), strict=True):
-        if (d, same) not in gone:
-            gone.add((d, same))
+        if first.get(same, d) == d and (d, same) not in done:
+            done.add((d, same))
             out.append((d, shingles(data.as_py(), K)))
     return out
 
@@ -149,29 +148,31 @@ def counted(texts: DataFrame, copies: DataFrame, groups: int) -> DataFrame:
 
 
 def entries(texts: DataFrame, copies: DataFrame, groups: int) -> DataFrame:
-    """Packed by group: the entries of shortened rows in shared columns (h, doc, n, far), and the size of each row (own, size)."""
+    """Packed by group: the entries of shortened rows in shared columns (h, doc, n, far), and of each row the size and the least document with its text (own, size, first)."""
     levels = counted(texts, copies, groups)
     none = F.lit(None).cast("binary")
-    known = copies.select("g", "doc_id", "same", *(none.alias(c) for c in ("low", "high", "level"))).unionByName(levels.withColumns({"doc_id": F.lit(None).cast("long"), "same": none}))
+    known = copies.select("g", "first", "same", *(none.alias(c) for c in ("low", "high", "level"))).unionByName(levels.withColumns({"first": F.lit(None).cast("long"), "same": none}))
 
     def cut(key, text: pa.Table, replies: pa.Table) -> pa.Table:
-        gone = set(zip(replies.column("doc_id").to_pylist(), replies.column("same").to_pylist(), strict=True))
+        first, done = dict(zip(replies.column("same").to_pylist(), replies.column("first").to_pylist(), strict=True)), set()
         low, high, level = packed(replies, low=np.uint32, high=np.uint8, level=np.uint8)
         known = (high.astype(np.uint64) << np.uint64(32)) | low
         order = np.argsort(known)
         known, level = known[order], level[order]
         h, doc, n, far = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        own, sizes, seen = text.column("doc_id").to_numpy(), [], {}
+        own, sizes, firsts, seen = text.column("doc_id").to_numpy(), [], [], {}
         for d, same, data in zip(own.tolist(), text.column("same").to_pylist(), text.column("data"), strict=True):
-            if (d, same) in gone and same in seen:
+            firsts.append(first.get(same, d))
+            again = firsts[-1] != d or (d, same) in done
+            if again and same in seen:
                 sizes.append(seen[same])
                 continue
             s = shingles(data.as_py(), K)
             size = seen[same] = len(s)
             sizes.append(size)
-            if (d, same) in gone or not len(known) or not size:
+            if again or not len(known) or not size:
                 continue
-            gone.add((d, same))
+            done.add((d, same))
             low = s & BITS
             at = np.minimum(np.searchsorted(known, low), len(known) - 1)
             of = np.where(known[at] == low, level[at], 0)
@@ -182,22 +183,22 @@ def entries(texts: DataFrame, copies: DataFrame, groups: int) -> DataFrame:
                 h.append(s[order]), doc.append(np.full(len(order), d, np.int64)), n.append(np.full(len(order), size, np.int64))
                 far.append(reach(size, np.arange(alone, alone + len(order))))
         h, doc, n, far = map(np.concatenate, (h, doc, n, far))
-        out = {"h": h, "doc": doc, "n": n, "far": far, "own": own.astype(np.int64), "size": np.array(sizes, np.int64)}
+        out = {"h": h, "doc": doc, "n": n, "far": far, "own": own.astype(np.int64), "size": np.array(sizes, np.int64), "first": np.array(firsts, np.int64)}
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in out.items()}})
 
-    return settle(texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cut, schema("h", "doc", "n", "far", "own", "size")))
+    return settle(texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cut, schema("h", "doc", "n", "far", "own", "size", "first")))
 
 
-def sizes_of(entries_: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles), a row for each row."""
+def rows_of(entries_: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, first), a row for each row."""
 
     def rows(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
-            own, size = packed(t, own=np.int64, size=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size)], names=["doc_id", "n_shingles"])
+            columns = packed(t, own=np.int64, size=np.int64, first=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n_shingles", "first"])
 
-    return entries_.select("own", "size").mapInArrow(rows, "doc_id long, n_shingles long")
+    return entries_.select("own", "size", "first").mapInArrow(rows, "doc_id long, n_shingles long, first long")
 
 
 def each_once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,9 +468,9 @@ def ngram_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
         first = verify(texts, packed_pairs(best_partners(found, groups), groups), groups)
         labels = components(first, "x", "hub")
         more = verify(texts, cross_pairs(found, labels, groups), groups)
-        links = labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(more).unionByName(copies.select(F.col("doc_id").alias("x"), F.col("first").alias("hub")))
-        labels = components(links, "x", "hub")
-        sizes = sizes_of(found)
+        sizes = rows_of(found)
+        same = sizes.where("doc_id > first").select(F.col("doc_id").alias("x"), F.col("first").alias("hub"))
+        labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("hub")).unionByName(more).unionByName(same), "x", "hub")
         out = sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(back().alias("doc_id"), "n_shingles", back("component").alias("c"))
         return kept(out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")))
 
