@@ -3,11 +3,12 @@
 An existing vocabulary of subword pieces spans a lattice over each text: every way of cutting it
 into pieces is a path, weighted by the product of its pieces' probabilities. The forward
 recursion in log space adds up all paths, so a text gets its marginal probability. Pieces do not
-reach over the border of two words, so the recursion runs word by word and equal words
-of a group of documents are computed once.
+reach over the border of two words, so the recursion runs word by word: each distinct word of the corpus is
+scored once, in its bucket, and its score goes back to the groups of documents that have it.
 
-The vocabulary's own order (a piece's rank) gives the first weights. One pass of expectations over all
-words of the training texts, forward and backward over their lattices, turns them into the
+The vocabulary's own scores give the first weights. They are ranks of merges (0, -1, -2, ...), not log probabilities,
+so by Zipf's law a piece of score s weighs 1 / (100 - s). ROUNDS passes of expectations over all
+words of the training texts, forward and backward over their lattices, turn them into the
 corpus's piece probabilities; the vocabulary itself is left as it is.
 """
 
@@ -22,98 +23,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.packed import back, by_group, pieces, settle, total_bytes, tune, with_group
+from almanac.llm.packed import back, by_group, kept, pieces, scratch, settle, total_bytes, tune, with_group
 
 SPACE = "▁"
 FOLDS, HELD = 7, 2
+#: Passes of expectations.
+ROUNDS = 3
+#: Cells of the lattices that are held at once.
+CELLS = 4_000_000
+ODD = np.uint64(0x100000001B3C0DE5)
+
+
+class Vocabulary:
+    """Pieces by a hash of their text, the ids of the 256 byte pieces, and the first weights."""
+
+    def __init__(self, plain: dict[str, int], letters: list[int], first: np.ndarray):
+        self.first, self.letters, self.longest = first, np.array(letters), max(map(len, plain), default=1)
+        h = np.array([self.hashed(t) for t in plain], np.uint64)
+        order = np.argsort(h)
+        self.hashes, self.ids = h[order], np.fromiter(plain.values(), np.int32, len(plain))[order]
+        assert len(np.unique(h)) == len(h)
+        self.live = np.zeros(len(first), bool)
+        self.live[[*plain.values(), *letters]] = True
+
+    @staticmethod
+    def hashed(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(ODD) + ord(c) + 1) % 2**64
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of pieces by hash, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ids[at], -1)
 
 
 @lru_cache(maxsize=1)
-def vocabulary(path: str) -> tuple[dict[str, int], list[int], int]:
-    """Pieces by text, the ids of the 256 byte pieces, and the number of ids. Read once by each Python worker."""
+def vocabulary(path: str) -> Vocabulary:
+    """Read once by each Python worker."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     plain = {model.id_to_piece(i): i for i in range(n) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or SPACE in model.id_to_piece(i)[1:])}
-    return plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n
-
-
-def first_weights(plain: dict[str, int], letters: list[int], n: int) -> np.ndarray:
-    """Log probabilities that fall with the rank of a piece; byte pieces come last."""
+    letters = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     p = np.zeros(n)
-    for rank, i in enumerate(plain.values()):
-        p[i] = 1.0 / (rank + 100)
+    for i in plain.values():
+        p[i] = 1 / (100 - min(0.0, model.get_score(i)))
     p[letters] = p[p > 0].min()
     with np.errstate(divide="ignore"):
-        return np.log(p / p.sum())
+        return Vocabulary(plain, letters, np.log(p / p.sum()))
 
 
 class Lattice:
-    """Forward and backward recursions over the pieces of one word. A character that no piece spells takes its byte pieces."""
-
-    def __init__(self, plain: dict[str, int], letters: list[int], weight: np.ndarray):
-        self.weight = weight.tolist()
-        self.plain = {k: (i, self.weight[i]) for k, i in plain.items()}
-        self.letters, self.longest, self.known = letters, max(map(len, plain), default=1), {}
-
-    def edges(self, word: str) -> list[list[tuple[int, int, float]]]:
-        """Per end the (start, id, weight) of pieces that end there; a spelt-out character has id -1."""
-        n, plain, longest = len(word), self.plain, self.longest
-        out = []
-        for j in range(1, n + 1):
-            here = []
-            for i in range(max(0, j - longest), j):
-                found = plain.get(word[i:j])
-                if found is not None:
-                    here.append((i, *found))
-            if not here or here[-1][0] != j - 1:
-                here.append((j - 1, -1, sum(self.weight[self.letters[b]] for b in word[j - 1].encode())))
-            out.append(here)
-        return out
-
-    def forward(self, edges) -> list[float]:
-        a = [0.0]
-        for here in edges:
-            s = [a[i] + w for i, _, w in here]
-            m = max(s)
-            a.append(m if len(s) == 1 else m + math.log(sum(math.exp(x - m) for x in s)))
+    """Forward and backward recursions over the pieces of words, many words of one length at a time. A character that no piece spells takes its byte pieces."""
+
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray):
+        self.vocabulary, self.weight = vocabulary, np.append(weight, -np.inf)
+
+    def batches(self, words: list[bytes]):
+        """(numbers of the words, code points, ids, weights): cell (word, end, length - 1) is the piece of that length that ends there."""
+        texts = [SPACE + w.decode() for w in words]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            n = int(size[order[at]])
+            longest = min(n, self.vocabulary.longest)
+            end = min(int(np.searchsorted(size[order], n, "right")), at + max(1, CELLS // (n * longest)))
+            number = order[at:end]
+            at = end
+            points = np.frombuffer("".join(texts[i] for i in number).encode("utf-32-le"), np.uint32).reshape(len(number), n)
+            ids = np.full((len(number), n, longest), -1, np.int32)
+            h = np.zeros((len(number), n), np.uint64)
+            for k in range(longest):
+                h = h[:, : n - k] * ODD + (points[:, k:].astype(np.uint64) + np.uint64(1))
+                ids[:, k:, k] = self.vocabulary.find(h)
+            weights = self.weight[ids]
+            spelt = ids[:, :, 0] < 0
+            if spelt.any():
+                one, back_ = np.unique(points[spelt], return_inverse=True)
+                weights[:, :, 0][spelt] = np.array([self.weight[self.vocabulary.letters[list(chr(c).encode())]].sum() for c in one.tolist()])[back_]
+            yield number, points, ids, weights
+
+    @staticmethod
+    def forward(weights: np.ndarray) -> np.ndarray:
+        """Log of the sum over all paths to each end; end e stands in column e + longest."""
+        m, n, longest = weights.shape
+        a = np.full((m, n + longest + 1), -np.inf)
+        a[:, longest] = 0
+        for e in range(1, n + 1):
+            s = a[:, e : e + longest] + weights[:, e - 1, ::-1]
+            top = s.max(1)
+            a[:, e + longest] = top + np.log(np.exp(s - top[:, None]).sum(1))
         return a
 
-    def log(self, word: bytes) -> float:
-        """Natural log of the word's probability over all its segmentations."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[word] = self.forward(self.edges(SPACE + word.decode()))[-1]
-        return found
-
-    def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
-        """Add the expected number of uses of each piece."""
-        text = SPACE + word.decode()
-        edges = self.edges(text)
-        a, n = self.forward(edges), len(text)
-        b = [-math.inf] * n + [0.0]
-        for j in range(n, 0, -1):
-            for i, _, w in edges[j - 1]:
-                x, y = b[i], b[j] + w
-                b[i] = max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
-        for j, here in enumerate(edges, 1):
-            for i, k, w in here:
-                p = times * math.exp(a[i] + w + b[j] - a[n])
-                if k >= 0:
-                    into[k] += p
-                else:
-                    for x in text[j - 1].encode():
-                        into[self.letters[x]] += p
-
-
-@lru_cache(maxsize=2)
-def lattice_of(path: str, weight: bytes | None = None) -> Lattice:
-    """The lattice of a vocabulary with these log probabilities (None: the first weights). A worker keeps it, and so the words it has seen, from group to group."""
-    plain, letters, size = vocabulary(path)
-    return Lattice(plain, letters, first_weights(plain, letters, size) if weight is None else np.frombuffer(weight))
+    def log(self, words: list[bytes]) -> np.ndarray:
+        """Natural logs of the words' probabilities over all their segmentations."""
+        out = np.zeros(len(words))
+        for number, _, _, weights in self.batches(words):
+            out[number] = self.forward(weights)[:, -1]
+        return out
+
+    def expect(self, words: list[bytes], times: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected number of uses of each piece, with each word taken so many times."""
+        for number, points, ids, weights in self.batches(words):
+            m, n, longest = weights.shape
+            a = self.forward(weights)
+            b = np.full_like(a, -np.inf)
+            b[:, -1] = 0
+            p = np.empty_like(weights)
+            for e in range(n, 0, -1):
+                through = weights[:, e - 1, ::-1] + b[:, e + longest, None]
+                p[:, e - 1] = np.exp(a[:, e : e + longest] + through - a[:, -1:])[:, ::-1]
+                b[:, e : e + longest] = np.logaddexp(b[:, e : e + longest], through)
+            p *= times[number][:, None, None]
+            there = ids >= 0
+            into += np.bincount(ids[there], p[there], len(into))[: len(into)]
+            spelt = ~there[:, :, 0]
+            if spelt.any():
+                one, back_ = np.unique(points[spelt], return_inverse=True)
+                for c, uses in zip(one.tolist(), np.bincount(back_, p[:, :, 0][spelt]).tolist(), strict=True):
+                    np.add.at(into, self.vocabulary.letters[list(chr(c).encode())], uses)
 
 
 def held(ids: list[int]) -> list[bool]:
@@ -124,83 +156,92 @@ def tokens(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def count(words) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
-    for w in words:
-        out[w] = out.get(w, 0) + 1
-    return out
-
-
-def bucket(words: list[bytes], groups: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % groups
-
-
-def ordered(words: list[bytes], groups: int) -> list[tuple[int, list[bytes]]]:
+def ordered(words, groups: int) -> list[tuple[int, list[bytes]]]:
     """The distinct words by bucket, in one order everywhere."""
     words = sorted(words)
-    at = bucket(words, groups)
+    at = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % groups
     order = np.argsort(at, kind="stable")
     cuts = np.searchsorted(at[order], np.arange(groups + 1))
     return [(b, [words[k] for k in order[cuts[b] : cuts[b + 1]]]) for b in range(groups) if cuts[b + 1] > cuts[b]]
 
 
-def ask_words(groups: int):
-    """Each group's distinct words with their counts in training texts, to the words' buckets."""
+def binary(*arrays: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], pa.binary())
 
-    def ask(table: pa.Table) -> pa.Table:
-        g, ids = table.column("g")[0].as_py(), table.column("doc_id").to_pylist()
-        train: dict[bytes, int] = {}
+
+def asked_words(texts: DataFrame, groups: int) -> DataFrame:
+    """(g, src, words, n): each group's distinct words with their counts in its training texts, by the words' bucket."""
+
+    def ask(key, table):
+        ids, train = table.column("doc_id").to_pylist(), {}
         for out, data in zip(held(ids), table.column("data"), strict=True):
+            step = int(not out)
             for w in tokens(data.as_py()):
-                train[w] = train.get(w, 0) + (not out)
-        rows = ordered(list(train), groups)
-        return pa.table({"g": pa.array([b for b, _ in rows], pa.int32()), "src": pa.array([g] * len(rows), pa.int32()), "words": pa.array([b" ".join(w) for _, w in rows], pa.binary()), "n": pa.array([np.array([train[x] for x in w], np.int64).tobytes() for _, w in rows], pa.binary())})
+                train[w] = train.get(w, 0) + step
+        rows = ordered(train, groups)
+        return pa.table({"g": pa.array([b for b, _ in rows], pa.int32()), "src": pa.array([key[0].as_py()] * len(rows), pa.int32()), "words": pa.array([b" ".join(w) for _, w in rows], pa.binary()), "n": binary(*(np.array([train[x] for x in w], np.int64) for _, w in rows))})
 
-    return ask
+    return settle(texts.groupBy("g").applyInArrow(ask, "g int, src int, words binary, n binary"))
 
 
-def answer_words(path: str):
-    """Per bucket: to each group the corpus counts of its words, and the expected uses of pieces."""
+def all_words(asked: DataFrame) -> DataFrame:
+    """(g, words, n, total, distinct): a bucket's words with their counts in all training texts, and the sum and number of counts above 0."""
 
-    def answer(table: pa.Table) -> pa.Table:
-        b, total = table.column("g")[0].as_py(), {}
-        asked = list(zip(table.column("src").to_pylist(), table.column("words").to_pylist(), table.column("n").to_pylist(), strict=True))
-        for _, words, n in asked:
+    def add(key, table):
+        total: dict[bytes, int] = {}
+        for words, n in zip(table.column("words").to_pylist(), table.column("n").to_pylist(), strict=True):
             for w, k in zip(words.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True):
                 total[w] = total.get(w, 0) + k
-        lattice = lattice_of(path)
-        uses = np.zeros(len(lattice.weight))
-        for w, k in total.items():
-            if k:
-                lattice.expect(w, k, uses)
-        rows = [(src, b, np.array([total[w] for w in words.split(b" ")], np.int64).tobytes(), None) for src, words, _ in asked]
-        known = [k for k in total.values() if k]
-        rows.append((-1, b, np.array([sum(known), len(known)], np.int64).tobytes(), uses.tobytes()))
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("g", pa.int32()), ("b", pa.int32()), ("n", pa.binary()), ("uses", pa.binary())))})
+        n = np.fromiter(total.values(), np.int64, len(total))
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([b" ".join(total)], pa.binary()), "n": binary(n), "total": pa.array([int(n.sum())]), "distinct": pa.array([int((n > 0).sum())])})
 
-    return answer
+    return settle(asked.groupBy("g").applyInArrow(add, "g int, words binary, n binary, total long, distinct long"))
 
 
-def piece_weights(answers: DataFrame, n_train: int, path: str) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end, with one added to each count. The sum has as many rows as the vocabulary."""
+def expected(words: DataFrame, path: str, weight: np.ndarray | None) -> np.ndarray:
+    """Expected uses of each piece over all training words. What comes to the driver is as large as the vocabulary."""
+    raw = None if weight is None else weight.tobytes()
 
-    def spread(batches):
+    def count(batches):
+        known = vocabulary(path)
+        lattice, uses = Lattice(known, known.first if raw is None else np.frombuffer(raw)), np.zeros(len(known.first))
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                uses = np.frombuffer(raw)
-                at = np.flatnonzero(uses)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], names=["piece", "uses"])
-
-    plain, letters, size = vocabulary(path)
-    found = answers.where("g = -1").select("uses").mapInArrow(spread, "piece int, uses double").groupBy("piece").agg(F.sum(F.round("uses", 6).cast("decimal(30,6)")).cast("double").alias("uses")).toPandas()
-    uses = np.zeros(size)
+            for w, n in zip(b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True):
+                w, n = w.split(b" "), np.frombuffer(n, np.int64)
+                there = np.flatnonzero(n)
+                lattice.expect([w[i] for i in there], n[there].astype(float), uses)
+        at = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], names=["piece", "uses"])
+
+    found = words.select("words", "n").mapInArrow(count, "piece int, uses double").groupBy("piece").agg(F.sum(F.round("uses", 6).cast("decimal(30,6)")).cast("double").alias("uses")).toPandas()
+    uses = np.zeros(len(vocabulary(path).first))
     uses[found["piece"].to_numpy(int)] = found["uses"].to_numpy(float)
-    live = np.zeros(size, bool)
-    live[[*plain.values(), *letters]] = True
-    uses = np.where(live, uses + 1, 0)
-    total = uses.sum() + n_train + 1
-    with np.errstate(divide="ignore"):
-        return np.log(uses / total), math.log((n_train + 1) / total)
+    return uses
+
+
+def piece_weights(words: DataFrame, n_train: int, path: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces and of the end, with one added to each count."""
+    live, weight = vocabulary(path).live, None
+    for _ in range(rounds):
+        uses = np.where(live, expected(words, path, weight) + 1, 0)
+        total = uses.sum() + n_train + 1
+        with np.errstate(divide="ignore"):
+            weight = np.log(uses / total)
+    return weight, math.log((n_train + 1) / total)
+
+
+def answered(asked: DataFrame, words: DataFrame, path: str, weight: np.ndarray) -> DataFrame:
+    """(g, b, n, p): to each group the counts of its words of bucket b and the logs of their probabilities, in the order that it asked."""
+    raw = weight.tobytes()
+
+    def answer(key, asks: pa.Table, known: pa.Table) -> pa.Table:
+        w, n = known.column("words")[0].as_py().split(b" "), np.frombuffer(known.column("n")[0].as_py(), np.int64)
+        p = Lattice(vocabulary(path), np.frombuffer(raw)).log(w)
+        at = {x: i for i, x in enumerate(w)}
+        rows = [np.fromiter(map(at.__getitem__, x.split(b" ")), np.int64) for x in asks.column("words").to_pylist()]
+        return pa.table({"g": asks.column("src"), "b": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": binary(*(n[i] for i in rows)), "p": binary(*(p[i] for i in rows))})
+
+    return asked.groupBy("g").cogroup(words.groupBy("g")).applyInArrow(answer, "g int, b int, n binary, p binary")
 
 
 def score(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,38 +252,38 @@ def score(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -
     """
     spark = docs.sparkSession
     tune(spark)
-    groups = pieces(total_bytes(docs, text))
-    texts = by_group(with_group(docs, groups, doc, text), groups)
-    ids = F.col("doc_id").cast("string")
-    n_train = texts.where(F.pmod(F.crc32(ids.cast("binary")), F.lit(FOLDS)) != HELD).count()
-    asked = texts.groupBy("g").applyInArrow(ask_words(groups), "g int, src int, words binary, n binary")
-    answers = settle(asked.groupBy("g").applyInArrow(answer_words(path), "g int, b int, n binary, uses binary"))
-    weight, end = piece_weights(answers, n_train, path)
-    weight = weight.tobytes()
-    # Per bucket two numbers.
-    pair = [np.frombuffer(r.n, np.int64) for r in answers.where("g = -1").select("n").toLocalIterator()]
-    n_all = int(sum(p[0] for p in pair)) + n_train
-    distinct = int(sum(p[1] for p in pair)) + (n_train > 0)
-
-    def finish(key, text: pa.Table, replies: pa.Table) -> pa.Table:
-        lattice = lattice_of(path, weight)
-        by_doc = [count(tokens(x.as_py())) for x in text.column("data")]
-        words = ordered(list({w for d in by_doc for w in d}), groups)
-        n = dict(zip(replies.column("b").to_pylist(), replies.column("n").to_pylist(), strict=True))
-        c = {w: k for b, ws in words for w, k in zip(ws, np.frombuffer(n[b], np.int64).tolist(), strict=True)}
-        ids, rows, log10, ln10 = text.column("doc_id").to_pylist(), [], math.log10, math.log(10)
-        low = log10(n_all + distinct + 1)
-        for i, out, ws in zip(ids, held(ids), by_doc, strict=True):
-            total = sum(ws.values())
-            base = sum(k * log10(c[w] + 1) for w, k in ws.items()) + log10(n_train + 1) - (total + 1) * low
-            known = sum(k for w, k in ws.items() if c[w]) + (n_train > 0)
-            rows.append((i, out, total + 1, known, n_all, base, (sum(k * lattice.log(w) for w, k in ws.items()) + end) / ln10))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
-
-    out = texts.groupBy("g").cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumn("doc_id", back())
+    with scratch(spark):
+        groups = pieces(total_bytes(docs, text))
+        texts = by_group(with_group(docs, groups, doc, text), groups)
+        n_train = texts.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD).count()
+        asked = asked_words(texts, groups)
+        words = all_words(asked)
+        n_all, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        n_all, distinct = n_all + n_train, distinct + (n_train > 0)
+        weight, end = piece_weights(words, n_train, path)
+
+        def finish(key, text: pa.Table, replies: pa.Table) -> pa.Table:
+            ids, by_doc = text.column("doc_id").to_pylist(), [tokens(x.as_py()) for x in text.column("data")]
+            answers = {b: (n, p) for b, n, p in zip(*(replies.column(c).to_pylist() for c in "bnp"), strict=True)}
+            at, n, p = {}, [np.empty(0, np.int64)], [np.empty(0)]
+            for b, ws in ordered({w for d in by_doc for w in d}, groups):
+                for w in ws:
+                    at[w] = len(at)
+                n.append(np.frombuffer(answers[b][0], np.int64)), p.append(np.frombuffer(answers[b][1]))
+            n, p = np.concatenate(n), np.concatenate(p)
+            base = np.log10(n + 1)
+            low, last = math.log10(n_all + distinct + 1), math.log10(n_train + 1)
+            rows = []
+            for i, out, ws in zip(ids, held(ids), by_doc, strict=True):
+                k = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
+                rows.append((i, out, len(ws) + 1, int((n[k] > 0).sum()) + (n_train > 0), n_all, float(base[k].sum()) + last - (len(ws) + 1) * low, (float(p[k].sum()) + end) / math.log(10)))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+            return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+        replies = answered(asked, words, path, weight)
+        out = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return kept(out.withColumn("doc_id", back()))
 
 
 def op5_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,12 +164,30 @@ def test_phrase_order_is_the_suffix_order():
 
 def test_lattice_sums_all_segmentations():
     plain, weight = {"▁": 0, "▁a": 1, "a": 2, "b": 3, "ab": 4}, np.log(np.array([0.1, 0.2, 0.3, 0.1, 0.2, 0.1]))
-    model = lattice.Lattice(plain, [5] * 256, weight)
+    model = lattice.Lattice(lattice.Vocabulary(plain, [5] * 256, weight), weight)
     want = 0.1 * 0.3 * 0.1 + 0.2 * 0.1 + 0.1 * 0.2
-    assert model.log(b"ab") == pytest.approx(math.log(want))
+    got = model.log([b"ab", b"a", "é".encode(), b"ab" * 2000])
+    assert got[:3] == pytest.approx([math.log(want), math.log(0.1 * 0.3 + 0.2), math.log(0.1 * 0.1 * 0.1)]) and math.isfinite(got[3])
     uses = np.zeros(6)
-    model.expect(b"ab", 2.0, uses)
-    assert uses[4] == pytest.approx(2 * 0.02 / want) and uses[0] == pytest.approx(2 * (0.003 + 0.02) / want)
+    model.expect([b"ab", "é".encode()], np.array([2.0, 3.0]), uses)
+    assert uses[4] == pytest.approx(2 * 0.02 / want) and uses[0] == pytest.approx(2 * (0.003 + 0.02) / want + 3) and uses[5] == pytest.approx(6)
+
+
+def test_more_passes_raise_the_likelihood(spark, docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    one, two = ([b"house", b"water", b"waterhouse", "über".encode()] for _ in range(2))
+    known = lattice.vocabulary(path)
+    n, weight, before = np.array([5.0, 3.0, 2.0, 1.0]), known.first, -math.inf
+    for _ in range(4):
+        model = lattice.Lattice(known, weight)
+        now = float(model.log(one) @ n)
+        assert now > before
+        uses, before = np.zeros(len(weight)), now
+        model.expect(two, n, uses)
+        with np.errstate(divide="ignore"):
+            weight = np.log(uses / uses.sum())
 
 
 def test_scoring(docs, rows, none):
