@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dsl
 from almanac.functions.cross import past, percent_rank, ratio
-from almanac.operators import asof, evaluate, events
+from almanac.operators import asof, decide, evaluate, events
 from almanac.plans import panel
 from almanac.sources.tables import table
 
@@ -18,9 +18,8 @@ def r(c, digits: int = 6):
     return (F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)).alias(c if isinstance(c, str) else "x")
 
 
-def least_pairs(spark: SparkSession, sf_dir: str) -> int:
-    """30, or 5 where fewer than 50 instruments exist."""
-    return 30 if table(spark, sf_dir, "supplier").count() >= 50 else 5
+#: Pairs that a date needs for a correlation.
+LEAST = 30
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = evaluate.daily_ic(scored(spark, sf_dir), least=least_pairs(spark, sf_dir))
+    daily = evaluate.daily_ic(scored(spark, sf_dir), least=LEAST)
     return _summary(daily.withColumn("year", F.year("dt")), "year")
 
 
@@ -43,9 +42,9 @@ def _summary(daily: DataFrame, *by: str) -> DataFrame:
 
 MARKET = """
 bars AS (SELECT l_suppkey AS inst, date_trunc('month', l_shipdate)::DATE AS dt, sum(l_extendedprice::DECIMAL(18,4))::DOUBLE AS amount, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS volume,
-  max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low FROM lineitem GROUP BY 1, 2),
+  max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, arg_min(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS open FROM lineitem GROUP BY 1, 2),
 cal AS (SELECT dt, row_number() OVER (ORDER BY dt)::INT AS t FROM (SELECT DISTINCT dt FROM bars)),
-dense AS (SELECT c.dt, c.t, i.s_suppkey AS inst, b.amount / b.volume AS close, b.high, b.low, b.volume, b.amount FROM cal c CROSS JOIN supplier i LEFT JOIN bars b ON b.dt = c.dt AND b.inst = i.s_suppkey),
+dense AS (SELECT c.dt, c.t, i.s_suppkey AS inst, b.amount / b.volume AS close, b.open, b.high, b.low, b.volume, b.amount FROM cal c CROSS JOIN supplier i LEFT JOIN bars b ON b.dt = c.dt AND b.inst = i.s_suppkey),
 p0 AS (SELECT *, close / lag(close) OVER i - 1 AS returns, volume / nullif(sum(volume) OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0) AS turnover, lag(amount) OVER i AS before FROM dense WINDOW i AS (PARTITION BY inst ORDER BY t)),
 market AS (SELECT * EXCLUDE (before), before IS NOT NULL AND row_number() OVER (PARTITION BY dt ORDER BY before DESC NULLS LAST, inst) <= ceil(count(before) OVER (PARTITION BY dt) * 0.6) AS is_member FROM p0)
 """
@@ -58,9 +57,6 @@ m1 AS (SELECT m0.*, CASE WHEN mom IS NOT NULL THEN greatest(least(mom, hi), lo)
 scored AS (SELECT *, (x - avg(x) OVER (PARTITION BY dt)) / nullif(stddev_pop(x) OVER (PARTITION BY dt), 0) AS score FROM m1)
 """
 )
-LEAST = "(SELECT CASE WHEN count(*) >= 50 THEN 30 ELSE 5 END FROM supplier)"
-
-
 def ic_sql(source: str, score: str = "score", label: str = "label", by: str = "dt") -> str:
     return f"""
 pairs AS (SELECT {by}, {score} AS x, {label} AS y FROM {source} WHERE {score} IS NOT NULL AND {label} IS NOT NULL),
@@ -85,9 +81,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("panel_bars_month", f"WITH {MARKET} SELECT inst, dt, amount, volume, amount / volume AS close, high, low FROM bars")
+@query("panel_bars_month", f"WITH {MARKET} SELECT inst, dt, amount, volume, amount / volume AS close, open, high, low FROM bars")
 def panel_bars_month(spark, d):
-    return panel.bars(spark, d).select("inst", "dt", "amount", "volume", "close", "high", "low")
+    return panel.bars(spark, d).select("inst", "dt", "amount", "volume", "close", "open", "high", "low")
 
 
 @query("panel_dense_returns", f"WITH {MARKET} SELECT dt, t, inst, close, round(returns, 6) + 0.0 AS returns, round(turnover, 6) + 0.0 AS turnover FROM market")
@@ -171,7 +167,7 @@ def dsl_log_abs_div(spark, d):
 
 _SEED_SQL = {
     "MOM_20": "close / lag(close, 20) OVER i - 1", "MOM_60": "close / lag(close, 60) OVER i - 1", "REV_5": "-(close / lag(close, 5) OVER i - 1)", "VOL_20": _win("stddev_samp", "returns", 20),
-    "TURNOVER_MEAN_20": _win("avg", "turnover", 20), "TURNOVER_CHANGE_20": f"turnover / nullif({_win('avg', 'turnover', 20)}, 0) - 1", "VOLUME_RATIO_5_20": f"({_win('avg', 'volume', 5)}) / nullif({_win('avg', 'volume', 20)}, 0)",
+    "TURNOVER_MEAN_20": _win("avg", "turnover", 20), "TURNOVER_CHANGE_20": f"({_win('avg', 'turnover', 5)}) / nullif({_win('avg', 'turnover', 20)}, 0) - 1", "VOLUME_RATIO_5_20": f"({_win('avg', 'volume', 5)}) / nullif({_win('avg', 'volume', 20)}, 0)",
     "PRICE_POSITION_60": f"(close - ({_win('min', 'low', 60)})) / nullif(({_win('max', 'high', 60)}) - ({_win('min', 'low', 60)}), 0)",
 }
 
@@ -201,7 +197,7 @@ def forward_labels_h(spark, d):
 
 @query("daily_ic", f"WITH {SCORED}, {ic_sql('scored')} SELECT dt, n, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic FROM daily")
 def daily_ic(spark, d):
-    return evaluate.daily_ic(scored(spark, d), least=least_pairs(spark, d)).select("dt", "n", r("ic"), r("rank_ic"))
+    return evaluate.daily_ic(scored(spark, d), least=LEAST).select("dt", "n", r("ic"), r("rank_ic"))
 
 
 @query("ic_summary_by_year", f"WITH {SCORED}, {ic_sql('scored')} SELECT year(dt)::INT AS year, {SUMMARY} FROM daily GROUP BY 1")
@@ -217,7 +213,7 @@ def ic_decay(spark, d):
     s, w = scored(spark, d).drop("label"), past()
     wide = s.select("dt", "score", *((ratio(F.lead("close", h + 1).over(w), F.lead("close", 1).over(w)) - 1).alias(str(h)) for h in (1, 2, 5, 10, 20)))
     long = wide.unpivot(["dt", "score"], ["1", "2", "5", "10", "20"], "h", "label").withColumn("h", F.col("h").cast("int"))
-    return _summary(evaluate.daily_ic(long, by=("h", "dt"), least=least_pairs(spark, d)), "h")
+    return _summary(evaluate.daily_ic(long, by=("h", "dt"), least=LEAST), "h")
 
 
 @query(
@@ -226,7 +222,7 @@ def ic_decay(spark, d):
     f"x AS (SELECT daily.*, CASE WHEN m > 0.01 THEN 'bull' WHEN m < -0.01 THEN 'bear' WHEN m IS NOT NULL THEN 'sideways' END AS regime FROM daily JOIN g USING (dt)) SELECT regime, {SUMMARY} FROM x WHERE regime IS NOT NULL GROUP BY regime",
 )
 def regime_stability(spark, d):
-    daily = evaluate.daily_ic(scored(spark, d), least=least_pairs(spark, d))
+    daily = evaluate.daily_ic(scored(spark, d), least=LEAST)
     total = lambda c: F.sum(F.col(c).cast("decimal(28,4)")).cast("double")
     level = panel.bars(spark, d).groupBy("dt").agg((total("amount") / total("volume")).alias("level"))
     m = F.col("level") / F.lag("level", 3).over(W.orderBy("dt")) - 1
@@ -244,17 +240,18 @@ SELECT a, b, round(avg(rank_ic), 6) + 0.0 AS rho, count(rank_ic) AS days FROM da
 def factor_correlation(spark, d):
     f = dsl.evaluate(panel.market(spark, d), {"mom": "close / Ref(close, 3) - 1", "rev": "-(close / Ref(close, 5) - 1)", "vol": "Std(returns, 6)"})
     pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("score"), F.col(b).alias("label")) for i, a in enumerate(_PAIRS) for b in _PAIRS[i:])))
-    daily = evaluate.daily_ic(f.select("dt", pairs.alias("p")).select("dt", "p.*"), by=("a", "b", "dt"), least=least_pairs(spark, d))
+    daily = evaluate.daily_ic(f.select("dt", pairs.alias("p")).select("dt", "p.*"), by=("a", "b", "dt"), least=LEAST)
     return daily.groupBy("a", "b").agg(F.avg("rank_ic").alias("rho"), F.count("rank_ic").alias("days")).select("a", "b", r("rho"), "days")
 
 
 @query(
     "quantile_spread",
-    f"WITH {SCORED}, x AS (SELECT dt, inst, label, count(*) OVER (PARTITION BY dt) AS n, row_number() OVER (PARTITION BY dt ORDER BY score DESC, inst) AS k1 FROM scored WHERE score IS NOT NULL AND label IS NOT NULL), y AS (SELECT *, ceil(round(n * 0.2, 9))::BIGINT AS k FROM x WHERE n >= {LEAST}) "
-    "SELECT dt, n, k, round(avg(CASE WHEN k1 <= k THEN label END), 6) + 0.0 AS top, round(avg(CASE WHEN k1 > n - k THEN label END), 6) + 0.0 AS bottom, round(avg(CASE WHEN k1 <= k THEN label END) - avg(CASE WHEN k1 > n - k THEN label END), 6) + 0.0 AS long_short FROM y GROUP BY dt, n, k",
+    f"WITH {SCORED}, x AS (SELECT dt, inst, label, count(*) OVER (PARTITION BY dt) AS n, row_number() OVER (PARTITION BY dt ORDER BY score DESC, inst) AS r FROM scored WHERE score IS NOT NULL), y AS (SELECT *, ceil(round(n * 0.2, 9))::BIGINT AS k FROM x), "
+    "z AS (SELECT dt, n, k, count(label) AS pairs, avg(CASE WHEN r <= k THEN label END) AS top, avg(CASE WHEN r > n - k THEN label END) AS bottom, count(label) FILTER (r <= k) AS top_labels, count(label) FILTER (r > n - k) AS bottom_labels FROM y GROUP BY dt, n, k) "
+    f"SELECT dt, n, k, CASE WHEN pairs >= {LEAST} THEN round(top, 6) + 0.0 END AS top, CASE WHEN pairs >= {LEAST} THEN round(bottom, 6) + 0.0 END AS bottom, CASE WHEN pairs >= {LEAST} THEN round(top - bottom, 6) + 0.0 END AS long_short, top_labels, bottom_labels FROM z",
 )
 def quantile_spread(spark, d):
-    return evaluate.quantile_spread(scored(spark, d), least=least_pairs(spark, d)).select("dt", "n", F.col("k").cast("long"), r("top"), r("bottom"), r("long_short"))
+    return evaluate.quantile_spread(scored(spark, d), least=LEAST).select("dt", "n", F.col("k").cast("long"), r("top"), r("bottom"), r("long_short"), "top_labels", "bottom_labels")
 
 
 @query("coverage_by_year", f"WITH {SCORED} SELECT year(dt)::INT AS year, count(*) AS cells, count(close) AS traded, count(*) FILTER (is_member) AS members, count(*) FILTER (is_member AND score IS NOT NULL) AS covered, round(count(*) FILTER (is_member AND score IS NOT NULL) / nullif(count(*) FILTER (is_member), 0), 6) AS coverage FROM scored GROUP BY 1")
@@ -264,15 +261,23 @@ def coverage_by_year(spark, d):
     return s.groupBy(F.year("dt").alias("year")).agg(F.count("*").alias("cells"), F.count("close").alias("traded"), F.count_if(member).alias("members"), got.alias("covered"), F.round(ratio(got, F.count_if(member)), 6).alias("coverage"))
 
 
-@query(
-    "factor_decision",
-    f"WITH {SCORED}, {ic_sql('scored')}, s AS (SELECT count(rank_ic) AS days, avg(rank_ic) AS m, avg((rank_ic > 0)::INT::DOUBLE) AS pos FROM daily) SELECT days, CASE WHEN days < 60 OR m < 0 THEN 'REJECT' WHEN m >= 0.03 AND pos >= 0.55 THEN 'KEEP' WHEN m >= 0.01 THEN 'FORWARD' ELSE 'REJECT' END AS status, concat_ws(',', CASE WHEN days < 60 THEN 'days' END, CASE WHEN m < 0.03 THEN 'rank_ic' END, CASE WHEN pos < 0.55 THEN 'positive_ratio' END) AS reasons FROM s",
-)
+_STATS = f"""WITH {SCORED}, {ic_sql('scored')}, c AS (SELECT count(*) FILTER (is_member AND score IS NOT NULL) / count(*) FILTER (is_member) AS coverage FROM scored), s AS (SELECT count(rank_ic) AS days, avg(rank_ic) AS rank_ic, avg((rank_ic > 0)::INT::DOUBLE) AS positive FROM daily),
+t AS (SELECT v.net, v.pool, c.coverage, s.days, s.rank_ic, s.positive FROM c, s, (VALUES (0.02, NULL), (0.02, 0.5), (-0.01, 0.95)) AS v(net, pool)),
+g AS (SELECT *, list_filter([CASE WHEN coverage < 0.7 THEN 'validation_gate:coverage' END, CASE WHEN days < 50 THEN 'validation_gate:days' END, CASE WHEN rank_ic IS NULL OR rank_ic < -1 THEN 'validation_gate:rank_ic' END, CASE WHEN positive IS NULL OR positive < 0 THEN 'validation_gate:positive_rank_ic_ratio' END, CASE WHEN net <= 0 THEN 'validation_gate:net_excess_annual' END, CASE WHEN abs(pool) >= 0.9 THEN 'redundant_with_existing_keep_pool' END], lambda x: x IS NOT NULL) AS bad,
+list_filter(['missing_exposure:industry', CASE WHEN pool IS NULL THEN 'existing_keep_pool_unavailable' END], lambda x: x IS NOT NULL) AS waiting FROM t)
+SELECT net AS net_excess_annual, days, CASE WHEN len(bad) > 0 THEN 'REJECT' ELSE 'FORWARD' END AS status, array_to_string(CASE WHEN len(bad) > 0 THEN bad ELSE waiting END, ',') AS reasons FROM g"""
+
+
+@query("factor_decision", _STATS)
 def factor_decision(spark, d):
-    s = evaluate.daily_ic(scored(spark, d), least=least_pairs(spark, d)).agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("m"), F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("pos"))
-    status = F.when((F.col("days") < 60) | (F.col("m") < 0), "REJECT").when((F.col("m") >= 0.03) & (F.col("pos") >= 0.55), "KEEP").when(F.col("m") >= 0.01, "FORWARD").otherwise("REJECT")
-    reasons = F.concat_ws(",", F.when(F.col("days") < 60, "days"), F.when(F.col("m") < 0.03, "rank_ic"), F.when(F.col("pos") < 0.55, "positive_ratio"))
-    return s.select("days", status.alias("status"), reasons.alias("reasons"))
+    """The rules on one factor under three assumptions about its net excess and the pool; the thresholds fit a panel of months, not of days."""
+    s = scored(spark, d)
+    ic = evaluate.daily_ic(s, least=LEAST).agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("rank_ic"), F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("positive_rank_ic_ratio"))
+    coverage = s.agg((F.count_if(F.col("is_member") & F.col("score").isNotNull()) / F.count_if("is_member")).alias("coverage"))
+    cases = F.explode(F.array(*(F.struct(F.lit(n).alias("net_excess_annual"), F.lit(p).cast("double").alias("pool_corr")) for n, p in ((0.02, None), (0.02, 0.5), (-0.01, 0.95)))))
+    stats = ic.withColumn("coverage", coverage.scalar()).select("*", cases.alias("c")).select("coverage", "days", "rank_ic", "positive_rank_ic_ratio", "c.*")
+    out = decide.decide(stats, {"min_coverage": 0.7, "min_days": 50, "min_rank_ic": -1, "min_positive_ratio": 0, "max_pool_corr": 0.9}, ("industry",))
+    return out.select("net_excess_annual", "days", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 _EVENTS = """ev AS (SELECT o_custkey AS code, o_orderdate::DATE AS pub, (date_trunc('quarter', o_orderdate::DATE - (o_orderkey % 400)::INT) - INTERVAL 1 DAY)::DATE AS stat, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS x, o_orderkey AS k FROM orders),
@@ -344,7 +349,7 @@ def neutralize_fwl(spark, d):
     f"WITH {SCORED}, {ic_sql('scored')}, p AS (SELECT year(dt)::INT AS year, 1 / (1 + abs(avg(rank_ic)) * count(*)) AS p FROM daily GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT year, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k",
 )
 def bh_adjust(spark, d):
-    p = evaluate.daily_ic(scored(spark, d), least=least_pairs(spark, d)).groupBy(F.year("dt").alias("year")).agg((1 / (1 + F.abs(F.avg("rank_ic")) * F.count("*"))).alias("p"))
+    p = evaluate.daily_ic(scored(spark, d), least=LEAST).groupBy(F.year("dt").alias("year")).agg((1 / (1 + F.abs(F.avg("rank_ic")) * F.count("*"))).alias("p"))
     return evaluate.bh_adjust(p, "p").select("year", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
@@ -356,21 +361,28 @@ def topk_portfolio(spark, d):
     return evaluate.top_k(scored(spark, d), 30).select("dt", "inst")
 
 
-def _daily(spark, d) -> DataFrame:
-    s = scored(spark, d)
-    held = evaluate.top_k(s, 30).groupBy("dt").agg(F.avg("returns").alias("ret"))
-    bench = s.groupBy("dt").agg(F.avg("returns").alias("bench"))
-    return held.join(bench, "dt").where("ret is not null and bench is not null").select("dt", (F.col("ret") / 10).alias("ret"), (F.col("bench") / 10).alias("bench"), F.lit(0.001).alias("cost"), F.lit(0.5).alias("turnover"))
+def reports_sql(k: int, fee: float, name: str) -> str:
+    """Common tables (name): a report of the k best scores of the date before."""
+    return f"""{name}w AS (SELECT dt, inst, t, returns, CASE WHEN z IS NOT NULL AND rk <= {k} THEN 1 / count(*) FILTER (z IS NOT NULL AND rk <= {k}) OVER (PARTITION BY dt) ELSE 0 END AS weight FROM
+  (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY z DESC NULLS LAST, inst) AS rk FROM (SELECT dt, inst, t, returns, lag(score) OVER (PARTITION BY inst ORDER BY t) AS z FROM scored))),
+{name}m AS (SELECT *, abs(weight - coalesce(lag(weight) OVER (PARTITION BY inst ORDER BY t), 0)) AS moved FROM {name}w),
+{name}d AS (SELECT dt, avg(CASE WHEN weight > 0 THEN returns END) AS ret, avg(returns) AS bench, sum(moved) / 2 AS turnover, sum(weight) AS held FROM {name}m GROUP BY dt),
+{name} AS (SELECT dt, ret / 10 AS ret, bench / 10 AS bench, tt AS turnover, {fee} * tt AS cost FROM (SELECT *, CASE WHEN dt = min(CASE WHEN held > 0 THEN dt END) OVER () THEN 2 * turnover ELSE turnover END AS tt FROM {name}d) WHERE ret IS NOT NULL AND bench IS NOT NULL)"""
+
+
+def report(spark, d, k: int = 30, fee: float = 0.002) -> DataFrame:
+    """Monthly returns are taken as a tenth, so that growth stays moderate."""
+    out = evaluate.holdings_report(scored(spark, d), k, fee)
+    return out.withColumns({"ret": F.col("ret") / 10, "bench": F.col("bench") / 10})
 
 
 @query(
     "portfolio_metrics",
-    _TOP
-    + ", h AS (SELECT dt, avg(returns) / 10 AS ret FROM k GROUP BY dt), b AS (SELECT dt, avg(returns) / 10 AS bench FROM scored GROUP BY dt), x AS (SELECT h.dt, ret - 0.001 AS net, bench FROM h JOIN b USING (dt) WHERE ret IS NOT NULL AND bench IS NOT NULL), y AS (SELECT *, exp(sum(ln(1 + net)) OVER w) AS nav, sum(net - bench) OVER w AS ex FROM x WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)), z AS (SELECT *, nav / greatest(1.0, max(nav) OVER w) - 1 AS dd, ex - greatest(0.0, max(ex) OVER w) AS ed FROM y WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)) "
-    "SELECT count(*) AS n_days, round(exp(sum(ln(1 + net))) - 1, 6) AS net_return, round(exp(sum(ln(1 + net)) * 12 / count(*)) - 1, 6) AS cagr, round(min(dd), 6) AS max_drawdown, round(avg(net - bench) * 12, 6) AS excess_annual, round(avg(net - bench) / nullif(stddev_samp(net - bench), 0) * sqrt(12), 6) AS excess_ir, round(min(ed), 6) AS excess_drawdown, 0.5::DOUBLE AS mean_turnover, round(avg(0.001::DOUBLE) * 12, 6) AS annual_cost FROM z",
+    f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')}, y AS (SELECT *, ret - cost AS net, exp(sum(ln(1 + ret - cost)) OVER w) AS nav, sum(ret - cost - bench) OVER w AS ex FROM p WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)), z AS (SELECT *, nav / greatest(1.0, max(nav) OVER w) - 1 AS dd, ex - greatest(0.0, max(ex) OVER w) AS ed FROM y WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)) "
+    "SELECT count(*) AS n_days, round(exp(sum(ln(1 + ret))) - 1, 6) AS gross_return, round(exp(sum(ln(1 + net))) - 1, 6) AS net_return, round(exp(sum(ln(1 + net)) * 12 / count(*)) - 1, 6) AS cagr, round(least(0.0, min(dd)), 6) AS max_drawdown, round(avg(net - bench) * 12, 6) AS excess_annual, round(avg(net - bench) / nullif(stddev_samp(net - bench), 0) * sqrt(12), 6) AS excess_ir, round(least(0.0, min(ed)), 6) AS excess_drawdown, round(avg(ret - bench) * 12, 6) AS gross_excess_annual, round(avg(turnover), 6) AS mean_turnover, round(avg(cost) * 12, 6) AS annual_cost FROM z",
 )
 def portfolio_metrics(spark, d):
-    m = evaluate.portfolio_metrics(_daily(spark, d))
+    m = evaluate.portfolio_metrics(report(spark, d), 12)
     return m.select("n_days", *(F.round(c, 6).alias(c) for c in m.columns if c != "n_days"))
 
 
@@ -407,15 +419,19 @@ def request_plan(spark, d):
     return plan.withColumn("year", F.explode(F.sequence(F.lit(1995), F.lit(2001)))).withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("year < 2001 or quarter <= 3")
 
 
-@query("illiquidity", f"WITH {MARKET} SELECT dt, inst, round(ln(1 + 1e6 * ({_win('avg', 'z', 6)})), 6) + 0.0 AS illiquidity FROM (SELECT *, abs(returns) / nullif(amount, 0) AS z FROM market)")
+@query("illiquidity", f"WITH {MARKET} SELECT dt, inst, round(ln(1 + 1e6 * ({_win('avg', 'z', 20)})), 6) + 0.0 AS illiquidity FROM (SELECT *, abs(returns) / nullif(amount, 0) AS z FROM market)")
 def illiquidity(spark, d):
-    m = panel.market(spark, d).withColumn("close", ratio(F.abs("returns"), F.col("amount")))
-    return dsl.evaluate(m, {"z": "Mean(close, 6)"}).select("dt", "inst", r(F.log1p(F.col("z") * 1e6)).alias("illiquidity"))
+    m = panel.market(spark, d).withColumn("move", ratio(F.abs("returns"), F.when(F.col("amount") > 0, F.col("amount"))))
+    return dsl.evaluate(m, {"z": "Mean(move, 20)"}, extra=frozenset({"move"})).select("dt", "inst", r(F.log1p(F.col("z") * 1e6)).alias("illiquidity"))
 
 
 def queries() -> dict:
+    from almanac import catalog_more  # noqa: F401
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from almanac import catalog_more  # noqa: F401
+
     return dict(O)

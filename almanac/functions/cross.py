@@ -26,10 +26,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def finite(x: Column) -> Column:
+    """x, null where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: infinite over 0, null for 0 / 0."""
+    return F.when(b != 0, a / b).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+
+
 def mean_rank(x: Column, *by) -> Column:
-    """Rank with ties averaged, within the groups; rows without a value have none and do not count."""
-    there = x.isNotNull()
-    return F.when(there, F.rank().over(W.partitionBy(*by, there).orderBy(x)) + (F.count("*").over(W.partitionBy(*by, there, x)) - 1) / 2)
+    """Rank with ties averaged, within the groups; rows without a value have none and do not count. One sort gives the rank and its ties."""
+    w = W.partitionBy(*by).orderBy(x.asc_nulls_last())
+    return F.when(x.isNotNull(), F.rank().over(w) + (F.count("*").over(w.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2)
 
 
 def percent_rank(x: Column, *by) -> Column:

@@ -22,8 +22,23 @@ def asof(signals: DataFrame, events: DataFrame, key: str, on: str, at: str, valu
     return out.select("_s.*", *(F.when(fresh, F.col(f"_e.{v}")).alias(v) for v in ["at", *values]))
 
 
-def current_periods(events: DataFrame, key: str, published: str, period: str, order: str) -> DataFrame:
-    """Events that are not behind: of each publication date the newest period, and none older than one published before."""
+def repeated_periods(events: DataFrame, key: str, published: str, period: str) -> DataFrame:
+    """Keys that fiscal precedence cannot order: two events of one publication date and period, or a period after its publication."""
+    same = events.groupBy(key, published, period).agg(F.count("*").alias("n"))
+    return same.select(key, published, period, F.when(F.col("n") > 1, "duplicate_period").when(F.col(period) > F.col(published), "period_after_publication").alias("reason")).where("reason is not null")
+
+
+def current_periods(events: DataFrame, key: str, published: str, period: str, order: str | None = None) -> DataFrame:
+    """Events that are not behind: of each publication date the newest period, and none older than one published before.
+
+    Without `order`, two events of one publication date and period, or a period after its publication, are refused
+    when the rows are read; with it the highest `order` counts and nothing is refused.
+    """
+    if order is None:
+        n = F.count("*").over(W.partitionBy(key, published, period))
+        bad = (n > 1) | (F.col(period) > F.col(published))
+        events = events.withColumn("_ok", F.when(bad, F.raise_error(F.lit("ambiguous or impossible fiscal period"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
+        order = period
     day = W.partitionBy(key, published).orderBy(F.desc(period), F.desc(order))
     before = W.partitionBy(key).orderBy(published).rowsBetween(W.unboundedPreceding, 0)
     one = events.withColumn("_n", F.row_number().over(day)).where("_n = 1").drop("_n")
@@ -31,10 +46,23 @@ def current_periods(events: DataFrame, key: str, published: str, period: str, or
 
 
 def next_date(events: DataFrame, dates: DataFrame, at: str) -> DataFrame:
-    """events with next_dt, the first calendar date after `at`; null beyond the end. The calendar is united, not joined by range."""
-    bucket = F.year(at)
-    rows = events.withColumn("_y", bucket)
-    known = dates.select(F.col("dt"), F.explode(F.array(F.year("dt"), F.year("dt") - 1)).alias("_y"))
-    names = events.columns
-    found = rows.join(F.broadcast(known), "_y", "left").groupBy(*names).agg(F.min(F.when(F.col("dt") > F.col(at), F.col("dt"))).alias("next_dt"))
-    return found
+    """events with next_dt, the first calendar date after `at`; null beyond the end. Every row stays, also equal ones.
+
+    The calendar becomes one row per day up to its last date, so an equality join finds the date.
+    """
+    following = dates.select("dt").distinct().select(F.col("dt"), F.lead("dt").over(W.orderBy("dt")).alias("next_dt")).where("next_dt is not null")
+    days = following.select("next_dt", F.explode(F.sequence("dt", F.date_sub("next_dt", 1))).alias("_day"))
+    first = dates.agg(F.min("dt")).scalar()
+    found = events.join(days, F.col(at) == F.col("_day"), "left").drop("_day")
+    return found.withColumn("next_dt", F.coalesce("next_dt", F.when(F.col(at) < first, first)))
+
+
+def within(events: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
+    """Events whose date lies in any interval (key, start_dt, end_dt) of their key, ends included: a semi join, so none is doubled."""
+    e, i = events.alias("e"), intervals.alias("i")
+    return e.join(i, (F.col(f"e.{key}") == F.col(f"i.{key}")) & F.col(f"e.{at}").between(F.col("i.start_dt"), F.col("i.end_dt")), "left_semi")
+
+
+def overlapping(intervals: DataFrame, start, end) -> DataFrame:
+    """Intervals that share a date with [start, end]."""
+    return intervals.where((F.col("start_dt") <= F.lit(end).cast("date")) & (F.col("end_dt") >= F.lit(start).cast("date")))

@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.functions.cross import mean_rank, past, pearson, ratio, standard
+from almanac.functions.cross import finite, mean_rank, past, pearson, ratio, standard
 
 
 def preprocess(panel: DataFrame, raw: str, mask: str, out: str = "score") -> DataFrame:
-    """Members' values clipped to the date's 1 % and 99 % quantiles (linear) and standardized with the population deviation."""
-    df = panel.withColumn("_x", F.when(F.col(mask), F.col(raw)))
-    bounds = df.groupBy("dt").agg(F.percentile("_x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q"))
-    df = df.join(bounds, "dt").withColumn("_x", F.when(F.col("_x").isNotNull(), F.greatest(F.least("_x", F.col("_q")[1]), F.col("_q")[0])))
+    """Members' values clipped to the date's 1 % and 99 % quantiles (linear) and standardized with the population deviation. NaN and infinities are null.
+
+    The quantiles are a window over the date, so the panel is shuffled once and not joined to itself.
+    """
+    df = panel.withColumn("_x", F.when(F.col(mask), finite(F.col(raw))))
+    df = df.withColumn("_q", F.percentile("_x", F.array(F.lit(0.01), F.lit(0.99))).over(W.partitionBy("dt")))
+    df = df.withColumn("_x", F.when(F.col("_x").isNotNull(), F.greatest(F.least("_x", F.col("_q")[1]), F.col("_q")[0])))
     return df.withColumn(out, standard(F.col("_x"), "dt")).drop("_x", "_q")
 
 
 def forward_labels(panel: DataFrame, h: int, end=None, out: str = "label") -> DataFrame:
     """close[t+1+h] / close[t+1] - 1 for members that can be traded on both dates, the exit not after `end`."""
+    if type(h) is not int or not 1 <= h <= 252:
+        raise ValueError("a label's horizon is 1 to 252 dates")
     w = past()
     ok = F.col("is_member") & F.lead("exec_ok", 1).over(w) & F.lead("exec_ok", h + 1).over(w)
     if end is not None:
@@ -27,9 +32,8 @@ def forward_labels(panel: DataFrame, h: int, end=None, out: str = "label") -> Da
 
 
 def daily_ic(df: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ("dt",), least: int = 30) -> DataFrame:
-    """(by, n, ic, rank_ic): Pearson of the complete pairs, and of their average ranks taken within the pairs."""
-    pairs = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    pairs = pairs.select(*by, F.col(score).alias("x"), F.col(label).alias("y"))
+    """(by, n, ic, rank_ic): Pearson of the pairs that are complete and finite, and of their average ranks taken within the pairs."""
+    pairs = df.select(*by, finite(F.col(score)).alias("x"), finite(F.col(label)).alias("y")).where("x is not null and y is not null")
     pairs = pairs.withColumn("rx", mean_rank(F.col("x"), *by)).withColumn("ry", mean_rank(F.col("y"), *by))
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), pearson("x", "y", least).alias("ic"), pearson("rx", "ry", least).alias("rank_ic"))
 
@@ -43,12 +47,20 @@ def summarize(daily: DataFrame, *by: str) -> DataFrame:
 
 
 def quantile_spread(df: DataFrame, fraction: float = 0.2, least: int = 30) -> DataFrame:
-    """(dt, n, k, top, bottom, long_short): mean labels of the best and worst k = ceil(n * fraction) scores, ties by instrument."""
-    pairs = df.where("score is not null and label is not null")
+    """(dt, n, k, top, bottom, long_short, top_labels, bottom_labels): mean labels of the best and worst k = ceil(n * fraction) of a date's n scores, ties by instrument.
+
+    Groups are formed from the scores alone; the labels that there are in them are averaged, and counted. A date
+    with fewer than `least` complete pairs has null means. Scores of a date without any are not reported.
+    """
+    if not 0 < fraction <= 0.5:
+        raise ValueError("a fraction lies in (0, 0.5]")
     day = W.partitionBy("dt")
-    pairs = pairs.withColumn("n", F.count("*").over(day)).withColumn("r", F.row_number().over(day.orderBy(F.desc("score"), "inst"))).withColumn("k", F.ceil(F.round(F.col("n") * fraction, 9)))
-    out = pairs.where(F.col("n") >= least).groupBy("dt", "n", "k").agg(F.avg(F.when(F.col("r") <= F.col("k"), F.col("label"))).alias("top"), F.avg(F.when(F.col("r") > F.col("n") - F.col("k"), F.col("label"))).alias("bottom"))
-    return out.withColumn("long_short", F.col("top") - F.col("bottom"))
+    x = df.select("dt", "inst", finite(F.col("score")).alias("score"), finite(F.col("label")).alias("label")).where("score is not null")
+    x = x.withColumn("n", F.count("*").over(day)).withColumn("r", F.row_number().over(day.orderBy(F.desc("score"), "inst"))).withColumn("k", F.ceil(F.round(F.col("n") * fraction, 9)))
+    top, bottom = (F.when(c, F.col("label")) for c in (F.col("r") <= F.col("k"), F.col("r") > F.col("n") - F.col("k")))
+    out = x.groupBy("dt", "n", "k").agg(F.avg(top).alias("top"), F.avg(bottom).alias("bottom"), F.count(top).alias("top_labels"), F.count(bottom).alias("bottom_labels"), F.count("label").alias("_pairs"))
+    usable = lambda c: F.when(F.col("_pairs") >= least, c)
+    return out.select("dt", "n", "k", usable(F.col("top")).alias("top"), usable(F.col("bottom")).alias("bottom"), usable(F.col("top") - F.col("bottom")).alias("long_short"), "top_labels", "bottom_labels")
 
 
 def neutralize(df: DataFrame, score: str, size: str, industry: str, min_group: int = 5, least: int = 30, out: str = "neutral") -> DataFrame:
@@ -67,11 +79,12 @@ def neutralize(df: DataFrame, score: str, size: str, industry: str, min_group: i
     return x.withColumn(out, F.when(scale > 1e-12, F.col("_r") / scale)).drop("_g", "_y", "_z", "_n", "_c", "_sd", "_r")
 
 
-def bh_adjust(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """Step-up adjusted p-values of one family (a bounded number of hypotheses), 1 at most."""
+def bh_adjust(df: DataFrame, p: str, out: str = "q", family: int | None = None) -> DataFrame:
+    """Step-up adjusted p-values of one family (a bounded number of hypotheses), 1 at most. A larger `family` is filled up with values of 1."""
     everything = W.partitionBy(F.lit(1))
     rank = F.row_number().over(everything.orderBy(p))
-    ranked = df.withColumn("_k", rank).withColumn("_m", F.count("*").over(everything))
+    size = F.count("*").over(everything)
+    ranked = df.withColumn("_k", rank).withColumn("_m", F.greatest(size, F.lit(family)) if family else size)
     down = everything.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(down))).drop("_k", "_m")
 
@@ -82,10 +95,39 @@ def top_k(df: DataFrame, k: int) -> DataFrame:
     return before.withColumn("_r", F.row_number().over(W.partitionBy("dt").orderBy(F.desc("_s"), "inst"))).where(F.col("_r") <= k).drop("_s", "_r")
 
 
-def portfolio_metrics(daily: DataFrame, days: int = 12) -> DataFrame:
-    """One row from (dt, ret, cost, bench, turnover): growth, drawdown from the initial 1, and the excess over the benchmark by sums."""
+def holdings_report(df: DataFrame, k: int, fee: float) -> DataFrame:
+    """(dt, ret, bench, turnover, cost): equal-weight returns of the k best, against all instruments.
+
+    turnover is the part of the weight that changes hands from date to date, cost the fee on it; the first date buys everything.
+    """
+    held = top_k(df, k).withColumn("weight", 1 / F.count("*").over(W.partitionBy("dt")))
+    w = past()
+    x = df.join(held.select("dt", "inst", "weight"), ["dt", "inst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    x = x.withColumn("_moved", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0))))
+    daily = x.groupBy("dt").agg(F.avg(F.when(F.col("weight") > 0, F.col("returns"))).alias("ret"), F.avg("returns").alias("bench"), (F.sum("_moved") / 2).alias("turnover"), F.sum("weight").alias("_held"))
+    first = F.min(F.when(F.col("_held") > 0, F.col("dt"))).over(W.partitionBy(F.lit(1)))
+    daily = daily.withColumn("turnover", F.when(F.col("dt") == first, 2 * F.col("turnover")).otherwise(F.col("turnover")))
+    return daily.where("ret is not null and bench is not null").select("dt", "ret", "bench", "turnover", (fee * F.col("turnover")).alias("cost"))
+
+
+def portfolio_metrics(daily: DataFrame, days: int = 238) -> DataFrame:
+    """One row from (dt, ret, cost, bench, turnover): growth before and after costs, drawdown from the initial 1, and the excess over the benchmark by sums.
+
+    Bad reports (see validate.report_violations) are for the caller to refuse. The dates are those of one portfolio, a few thousand.
+    """
     line = W.partitionBy(F.lit(1)).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     x = daily.withColumn("net", F.col("ret") - F.col("cost")).withColumn("nav", F.exp(F.sum(F.log1p("net")).over(line))).withColumn("excess", F.sum(F.col("net") - F.col("bench")).over(line))
     x = x.withColumn("down", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(line)) - 1).withColumn("excess_down", F.col("excess") - F.greatest(F.lit(0.0), F.max("excess").over(line)))
     diff = F.col("net") - F.col("bench")
-    return x.agg(F.count("*").alias("n_days"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), (F.exp(F.sum(F.log1p("net")) * days / F.count("*")) - 1).alias("cagr"), F.min("down").alias("max_drawdown"), (F.avg(diff) * days).alias("excess_annual"), (F.avg(diff) / F.nullif(F.stddev_samp(diff), F.lit(0.0)) * F.sqrt(F.lit(days))).alias("excess_ir"), F.min("excess_down").alias("excess_drawdown"), F.avg("turnover").alias("mean_turnover"), (F.avg("cost") * days).alias("annual_cost"))
+    return x.agg(
+        F.count("*").alias("n_days"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("gross_return"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), (F.exp(F.sum(F.log1p("net")) * days / F.count("*")) - 1).alias("cagr"),
+        F.least(F.lit(0.0), F.min("down")).alias("max_drawdown"), (F.avg(diff) * days).alias("excess_annual"), (F.avg(diff) / F.nullif(F.stddev_samp(diff), F.lit(0.0)) * F.sqrt(F.lit(days))).alias("excess_ir"), F.least(F.lit(0.0), F.min("excess_down")).alias("excess_drawdown"),
+        (F.avg(F.col("ret") - F.col("bench")) * days).alias("gross_excess_annual"), F.avg("turnover").alias("mean_turnover"), (F.avg("cost") * days).alias("annual_cost"),
+    )
+
+
+def risk_analysis(daily: DataFrame, x: str, days: int = 238) -> DataFrame:
+    """One row of a return series: mean and deviation of a day, annual mean, ratio and drawdown, all by sums."""
+    line = W.partitionBy(F.lit(1)).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
+    y = daily.withColumn("_sum", F.sum(x).over(line)).withColumn("_down", F.col("_sum") - F.max("_sum").over(line))
+    return y.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (F.avg(x) * days).alias("annual"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)) * F.sqrt(F.lit(days))).alias("ir"), F.min("_down").alias("drawdown"))

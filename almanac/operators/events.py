@@ -1,4 +1,4 @@
-"""Event ledgers: quarantine, merging with conflicts, activity spans and revision chains."""
+"""Event ledgers: quarantine, merging with conflicts, and activity spans. Revision chains are in almanac.ledger."""
 
 from __future__ import annotations
 
@@ -26,6 +26,16 @@ def merge_same_day(events: DataFrame, keys: list[str], value: str, ident: str) -
 
 
 def active_until(events: DataFrame, key: str, start: str, length: int) -> DataFrame:
-    """(.., until): an event is active for `length` calendar positions, or until the key's next event, which clears it."""
-    later = F.lead(start).over(W.partitionBy(key).orderBy(start))
+    """(.., until): an event is active for `length` calendar positions, or until the key's next position with an event, which clears it.
+
+    Events of one position share their end.
+    """
+    w = W.partitionBy(key).orderBy(start).rangeBetween(1, W.unboundedFollowing)
+    later = F.min(start).over(w)
     return events.withColumn("until", F.least(F.col(start) + length, F.coalesce(later, F.col(start) + length)) - 1)
+
+
+def published_by(events: DataFrame, published: str, end) -> tuple[DataFrame, DataFrame]:
+    """(events published until `end`, those after it): later ones are left out, not quarantined; a missing date stays to be judged."""
+    late = F.coalesce(F.col(published) > F.lit(end).cast("date"), F.lit(False))
+    return events.where(~late), events.where(late)

@@ -15,11 +15,12 @@ from almanac.sources.tables import table
 
 
 def bars(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
-    """(inst, dt, close, high, low, volume, amount). Sums are decimal, so they do not depend on the order of rows."""
+    """(inst, dt, open, high, low, close, vwap, volume, amount). Sums are decimal, so they do not depend on the order of rows; open is the price of the first line."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     total = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
+    first = F.min_by(price, F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
     out = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("inst"), F.trunc("l_shipdate", every).alias("dt"))
-    return out.agg(total("l_extendedprice").alias("amount"), total("l_quantity").alias("volume"), F.max(price).alias("high"), F.min(price).alias("low")).withColumn("close", ratio(F.col("amount"), F.col("volume")))
+    return out.agg(total("l_extendedprice").alias("amount"), total("l_quantity").alias("volume"), F.max(price).alias("high"), F.min(price).alias("low"), first.alias("open")).withColumn("close", ratio(F.col("amount"), F.col("volume"))).withColumn("vwap", F.col("close"))
 
 
 def calendar(dates: DataFrame) -> DataFrame:
@@ -27,15 +28,17 @@ def calendar(dates: DataFrame) -> DataFrame:
     return dates.select("dt").distinct().withColumn("t", F.row_number().over(W.orderBy("dt")))
 
 
-def dense(bars_: DataFrame, instruments: DataFrame) -> DataFrame:
-    """A row for each date and instrument; fields are null where there is no bar. The calendar is small by nature and is broadcast."""
-    grid = instruments.select("inst").crossJoin(F.broadcast(calendar(bars_)))
+def dense(bars_: DataFrame, instruments: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """A row for each date and instrument; fields are null where there is no bar. `dates` (dt), by default the bars', become an array in each instrument's row."""
+    days = calendar(bars_ if dates is None else dates).agg(F.sort_array(F.collect_list(F.struct("t", "dt"))).alias("d")).select("d").scalar()
+    grid = instruments.select("inst", F.explode(days).alias("d")).select("d.dt", "d.t", "inst")
     return grid.join(bars_, ["dt", "inst"], "left")
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense monthly panel with returns, turnover (volume against the trailing year) and membership."""
-    p = dense(bars(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("inst")))
+    dates = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("dt"))
+    p = dense(bars(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("inst")), dates)
     p = p.withColumn("returns", ratio(F.col("close"), F.lag("close").over(past())) - 1)
     p = p.withColumn("turnover", ratio(F.col("volume"), F.sum("volume").over(trailing(12))))
     p = p.withColumn("_before", F.lag("amount").over(past()))
@@ -51,8 +54,10 @@ def intervals(members: DataFrame) -> DataFrame:
 
 
 def expand(intervals_: DataFrame, dates: DataFrame) -> DataFrame:
-    """(dt, inst) of each date within an interval. The calendar is broadcast; the join is by range."""
-    return intervals_.join(F.broadcast(dates.select("dt")), F.col("dt").between(F.col("start_dt"), F.col("end_dt"))).select("dt", "inst")
+    """(dt, inst) of each calendar date (dt, t) within an interval: its ends become positions and every position a row, so all joins are equalities."""
+    at = lambda c: dates.select(F.col("dt").alias(f"{c}_dt"), F.col("t").alias(f"_{c}"))
+    rows = intervals_.join(at("start"), "start_dt").join(at("end"), "end_dt").select("inst", F.explode(F.sequence("_start", "_end")).alias("t"))
+    return rows.join(dates.select("dt", "t"), "t").select("dt", "inst")
 
 
 def eligible(panel: DataFrame, limit: float = 0.095) -> DataFrame:
