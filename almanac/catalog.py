@@ -407,10 +407,10 @@ def purged_folds(spark, d):
     return c.where("back > 2 or part = 'test'").groupBy("test_year", "part").agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.count("*").alias("n"))
 
 
-@query("label_rank_normalize", f"WITH {SCORED}, x AS (SELECT dt, inst, label FROM scored WHERE label IS NOT NULL) SELECT dt, inst, round(((rank() OVER (PARTITION BY dt ORDER BY label) + (count(*) OVER (PARTITION BY dt, label) - 1) / 2) / count(*) OVER (PARTITION BY dt) - 0.5) * 3.46, 6) + 0.0 AS norm FROM x")
+@query("label_rank_normalize", f"WITH {SCORED}, x AS (SELECT dt, inst, label FROM scored WHERE label IS NOT NULL) SELECT dt, inst, round(((rank() OVER (PARTITION BY dt ORDER BY label) + (count(*) OVER (PARTITION BY dt, label) - 1) / 2) / count(*) OVER (PARTITION BY dt) - 0.5) * 3.46, 9) + 0.0 AS norm FROM x")
 def label_rank_normalize(spark, d):
     x = scored(spark, d).where("label is not null")
-    return x.select("dt", "inst", r((percent_rank(F.col("label"), "dt") - 0.5) * 3.46).alias("norm"))
+    return x.select("dt", "inst", r((percent_rank(F.col("label"), "dt") - 0.5) * 3.46, 9).alias("norm"))
 
 
 @query("request_plan", "WITH s AS (SELECT s_suppkey AS symbol FROM supplier), m AS (SELECT unnest(['profit', 'growth']) AS method), y AS (SELECT unnest(range(1995, 2002))::INT AS year), q AS (SELECT unnest([1, 2, 3, 4])::INT AS quarter) SELECT symbol, method, year, quarter FROM s CROSS JOIN m CROSS JOIN y CROSS JOIN q WHERE year < 2001 OR quarter <= 3")

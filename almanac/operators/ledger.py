@@ -189,7 +189,7 @@ def evidence_errors(doc: str = "doc", text: str = "text") -> Column:
             quoted = F.size(quotes(field)) > 0
             unit = F.when(scale.isNull(), f"UNRESOLVED_CURRENCY_SCALE:{name}").when(~joined(field).contains(r("money_unit")), f"UNIT_NOT_IN_QUOTE:{name}") if p == "profit" else F.when(~joined(field).rlike(PERCENT), f"PERCENT_UNIT_NOT_IN_QUOTE:{name}")
             number = F.abs(v.cast("decimal(30,8)")) / (scale if p == "profit" else F.lit(1))
-            stands = F.exists(quotes(field), lambda q, number=number: F.exists(numbers(q), lambda x: x == number))
+            stands = F.exists(quotes(field), lambda q: F.exists(numbers(q), lambda x: x == number))
             codes += [F.when(v.isNotNull() & ~quoted, f"MISSING_SUPPORT:{name}"), F.when(v.isNotNull() & quoted, unit)]
             codes.append(F.when(v.isNotNull() & quoted & (scale.isNotNull() if p == "profit" else F.lit(True)) & ~F.coalesce(stands, F.lit(False)), f"UNSUPPORTED_NUMBER:{name}"))
     money, growth = joined("parent_profit_range"), joined("yoy_range")
