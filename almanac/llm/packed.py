@@ -51,6 +51,20 @@ class Scratch:
 
 _open: list[Scratch] = []
 
+#: Spark's setting that deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Within it, each write deletes its shuffle files when it ends: what is settled needs them no more."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
 
 @contextmanager
 def scratch(spark: SparkSession):
@@ -58,7 +72,8 @@ def scratch(spark: SparkSession):
     mine = Scratch(spark)
     _open.append(mine)
     try:
-        yield mine
+        with swept(spark):
+            yield mine
     finally:
         _open.remove(mine)
         mine.clear()
