@@ -97,6 +97,12 @@ def kept(df: DataFrame) -> DataFrame:
     return written(df, f"{shared_dir(df.sparkSession)}/result-{uuid.uuid4().hex}")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that all executors share, without its lineage. Spark deletes the files with the last plan that needs them where cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def by_group(df: DataFrame, groups: int, key: str = "g") -> DataFrame:
     """Write df clustered by an integer column, as a bucketed table in the shared folder.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import chaining, html_text, lattice, licenses, mixing, ngram_join, packing, quality_rules, suffix_dedup, webp
+from almanac.llm import chaining, clusters, decontaminate, html_text, lattice, licenses, mixing, ngram_join, packing, quality_rules, suffix_dedup, webp, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_substring_chaining": chaining.op8_substring_chaining,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_html_extraction": html_text.op10_html_extraction,
+        "op11_winnowing_decontamination": decontaminate.op11_winnowing_decontamination,
+        "op12_interval_clustering": clusters.op12_interval_clustering,
+        "op13_jacobi_whitening": whitening.op13_jacobi_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": ngram_join.ORACLE,
         "op6_license_scan": licenses.ORACLE,
         "op9_source_mixing": mixing.ORACLE,
+        "op11_winnowing_decontamination": decontaminate.ORACLE,
+        "op12_interval_clustering": clusters.ORACLE,
     }
