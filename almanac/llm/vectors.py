@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ def whole(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
-    entries = pa.compute.list_flatten(column)
-    values = np.asarray(pa.compute.fill_null(entries.cast(pa.float64()), float("nan")))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    entries = pc.list_flatten(column)
+    values = np.asarray(pc.fill_null(entries.cast(pa.float64()), float("nan")))
     ends = np.cumsum(np.maximum(sizes, 0))
     fits = np.flatnonzero(sizes == dim)
     if not len(fits):
