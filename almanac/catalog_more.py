@@ -255,21 +255,6 @@ def pca_projection(spark, d):
     return statistics.fit_basis(x, list(_FACTORS), target=0.99, least=100).project(x).select("dt", "inst", "PC01", "PC02")
 
 
-@query("conditional_residual")
-def conditional_residual(spark, d):
-    """No SQL: least squares with many columns. Its residual is orthogonal to its columns in the tests."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("inst"), (F.col("s_nationkey") % 4).cast("string").alias("industry"))
-    x = _features(spark, d).join(s, "inst").withColumn("size", fundamentals.positive_log(F.col("amount")))
-    return statistics.conditional_residual(x, "mom", ["rev"], "size", "industry", least=30)
-
-
-@query("block_bootstrap")
-def block_bootstrap(spark, d):
-    """No SQL: resampling by a seeded generator."""
-    daily = evaluate.daily_ic(_long(spark, d), by=("factor", "dt"), least=LEAST)
-    return statistics.bootstrap(daily, "rank_ic", ["factor"], block=6)
-
-
 @query(
     "paired_increment",
     "WITH x AS (SELECT l_shipdate::DATE AS dt, l_linenumber % 2 AS side, avg(l_discount::DECIMAL(18,4)) - 0.5 * avg(l_tax::DECIMAL(18,4)) AS net FROM lineitem GROUP BY 1, 2) SELECT a.dt, year(a.dt)::INT AS year, round(a.net - b.net, 9) + 0.0 AS increment FROM x a JOIN x b ON a.dt = b.dt WHERE a.side = 1 AND b.side = 0",

@@ -112,6 +112,23 @@ def fields(node) -> set[str]:
     return set().union(*(fields(x) for x in node[1:] if isinstance(x, tuple)), set())
 
 
+def parts(node):
+    """The tree and every tree inside it."""
+    yield node
+    for x in node[1:]:
+        if isinstance(x, tuple):
+            yield from parts(x)
+
+
+def render(node) -> str:
+    """A tree as text that parses to the same tree."""
+    if node[0] in ("field", "const"):
+        return str(node[1]) if node[0] == "field" else repr(node[1])
+    if node[0] == "Neg":
+        return f"-({render(node[1])})"
+    return f"{node[0]}({', '.join(render(x) if isinstance(x, tuple) else repr(x) for x in node[1:])})"
+
+
 def divides(node) -> bool:
     """Whether a division by zero can make a value of the tree infinite."""
     return node[0] == "Div" or any(divides(x) for x in node[1:] if isinstance(x, tuple))

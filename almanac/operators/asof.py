@@ -1,23 +1,44 @@
-"""As-of joins as one ordered pass: signals and events are united and the last event before each signal carried forward."""
+"""As-of and interval joins by slices of time: a key's line is cut, so that no task holds the whole of a hot key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof(signals: DataFrame, events: DataFrame, key: str, on: str, at: str, values: list[str], strict: bool = True, max_age: int | None = None) -> DataFrame:
+#: Days of a slice of time. A key's rows are dealt out by slice, so that a hot key is many tasks.
+SLICE = 366
+
+
+def cell(at: Column, width: int) -> Column:
+    """The number of the slice of time, `width` days long, in which a date or time lies."""
+    return F.floor(F.unix_date(at.cast("date")) / width)
+
+
+def asof(signals: DataFrame, events: DataFrame, key: str, on: str, at: str, values: list[str], strict: bool = True, max_age: int | None = None, width: int = SLICE) -> DataFrame:
     """signals with the latest event's `at` and values; strict takes events before the signal's date only.
 
     The newest event wins even where its value is null, and is dropped whole when it is older than max_age days.
-    Of events of one date the last by values counts; one sort by key and date serves both sides.
+    Of events of one date the last by values counts. Signals without a key or date have none, and events without
+    either are never taken.
+
+    Two levels: the last event of each key and slice is repeated at the head of the slices that follow, up to the next one with
+    an event, and signals, events and heads are filled forward within their slice alone. So the largest task is a
+    slice of a key, and rows are shuffled once.
     """
     event = F.struct(F.col(at).alias("at"), *(F.col(v).alias(v) for v in values))
-    rows = signals.select(F.col(key), F.col(on).alias("_d"), F.lit(0 if strict else 1).alias("_o"), F.lit(None).cast(events.select(event.alias("e")).schema["e"].dataType).alias("_e"), F.struct(*signals.columns).alias("_s"))
-    told = events.select(F.col(key), F.col(at).alias("_d"), F.lit(1 if strict else 0).alias("_o"), event.alias("_e"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"))
-    w = W.partitionBy(key).orderBy("_d", "_o", "_e").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.unionByName(told).withColumn("_e", F.last("_e", ignorenulls=True).over(w)).where("_s is not null")
+    told = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key), cell(F.col(at), width).alias("_c"), F.col(at).alias("_d"), F.lit(1 if strict else 0).alias("_o"), event.alias("_e"))
+    rows = signals.select(F.col(key), cell(F.col(on), width).alias("_c"), F.col(on).alias("_d"), F.lit(0 if strict else 1).alias("_o"), F.lit(None).cast(told.schema["_e"].dataType).alias("_e"), F.struct(*signals.columns).alias("_s"))
+    newest = told.groupBy(key, "_c").agg(F.max("_e").alias("_e"))
+    ends = [F.coalesce(F.lead("_c").over(W.partitionBy(key).orderBy("_c")), signals.select(cell(F.max(on), width)).scalar())]
+    if max_age is not None:
+        ends.append(cell(F.date_add(F.col("_e.at").cast("date"), max_age), width))
+    until = F.least(*ends) if len(ends) > 1 else ends[0]
+    heads = newest.withColumn("_u", until).where("_u > _c").select(key, F.explode(F.sequence(F.col("_c") + 1, F.col("_u"))).alias("_c"), F.lit(None).cast(told.schema["_d"].dataType).alias("_d"), F.lit(-1).alias("_o"), "_e")
+    w = W.partitionBy(key, "_c").orderBy("_d", "_o", "_e").rowsBetween(W.unboundedPreceding, 0)
+    sources = told.unionByName(heads).withColumn("_s", F.lit(None).cast(rows.schema["_s"].dataType))
+    out = rows.unionByName(sources).withColumn("_e", F.last("_e", ignorenulls=True).over(w)).where("_s is not null")
     fresh = F.lit(True) if max_age is None else F.datediff("_d", "_e.at") <= max_age
     return out.select("_s.*", *(F.when(fresh, F.col(f"_e.{v}")).alias(v) for v in ["at", *values]))
 
@@ -28,7 +49,7 @@ def repeated_periods(events: DataFrame, key: str, published: str, period: str) -
     return same.select(key, published, period, F.when(F.col("n") > 1, "duplicate_period").when(F.col(period) > F.col(published), "period_after_publication").alias("reason")).where("reason is not null")
 
 
-def current_periods(events: DataFrame, key: str, published: str, period: str, order: str | None = None) -> DataFrame:
+def current_periods(events: DataFrame, key: str, published: str, period: str, order: str | None = None, width: int = SLICE) -> DataFrame:
     """Events that are not behind: of each publication date the newest period, and none older than one published before.
 
     Without `order`, two events of one publication date and period, or a period after its publication, are refused
@@ -40,9 +61,14 @@ def current_periods(events: DataFrame, key: str, published: str, period: str, or
         events = events.withColumn("_ok", F.when(bad, F.raise_error(F.lit("ambiguous or impossible fiscal period"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
         order = period
     day = W.partitionBy(key, published).orderBy(F.desc(period), F.desc(order))
-    before = W.partitionBy(key).orderBy(published).rowsBetween(W.unboundedPreceding, 0)
-    one = events.withColumn("_n", F.row_number().over(day)).where("_n = 1").drop("_n")
-    return one.withColumn("_m", F.max(period).over(before)).where(F.col(period) >= F.col("_m")).drop("_m")
+    one = events.withColumn("_n", F.row_number().over(day)).where("_n = 1").drop("_n").withColumn("_c", cell(F.col(published), width))
+    # The newest period so far: of the slices before by a window over slices, of the slice itself by one within it.
+    newest = events.groupBy(key, cell(F.col(published), width).alias("_c")).agg(F.max(period).alias("_m"))
+    ahead = W.partitionBy(key).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    newest = newest.select(F.col(key).alias("_k"), F.col("_c").alias("_kc"), F.max("_m").over(ahead).alias("_m"))
+    inside = W.partitionBy(key, "_c").orderBy(published).rowsBetween(W.unboundedPreceding, 0)
+    out = one.withColumn("_i", F.max(period).over(inside)).join(newest, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_kc")))
+    return out.where(F.col(period) >= F.greatest("_i", "_m")).drop("_c", "_k", "_kc", "_i", "_m")
 
 
 def next_date(events: DataFrame, dates: DataFrame, at: str) -> DataFrame:
@@ -57,10 +83,40 @@ def next_date(events: DataFrame, dates: DataFrame, at: str) -> DataFrame:
     return found.withColumn("next_dt", F.coalesce("next_dt", F.when(F.col(at) < first, first)))
 
 
-def within(events: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
-    """Events whose date lies in any interval (key, start_dt, end_dt) of their key, ends included: a semi join, so none is doubled."""
-    e, i = events.alias("e"), intervals.alias("i")
-    return e.join(i, (F.col(f"e.{key}") == F.col(f"i.{key}")) & F.col(f"e.{at}").between(F.col("i.start_dt"), F.col("i.end_dt")), "left_semi")
+def in_cells(intervals: DataFrame, width: int) -> DataFrame:
+    """intervals once for every slice of time that they touch, as `_c`. Those that end before they start, or lack an end, touch none."""
+    span = F.sequence(cell(F.col("start_dt"), width), cell(F.col("end_dt"), width))
+    return intervals.where("start_dt <= end_dt").withColumn("_c", F.explode(span))
+
+
+def within(events: DataFrame, intervals: DataFrame, key: str, at: str, width: int = 32) -> DataFrame:
+    """Events whose date lies in any interval (key, start_dt, end_dt) of their key, ends included: a semi join, so none is doubled.
+
+    Intervals are matched by key and slice of time, then tested exactly: an event meets the intervals near its date, not all of its key.
+    """
+    e = events.withColumn("_c", cell(F.col(at), width)).alias("e")
+    i = in_cells(intervals.select(key, "start_dt", "end_dt"), width).alias("i")
+    near = (F.col(f"e.{key}") == F.col(f"i.{key}")) & (F.col("e._c") == F.col("i._c"))
+    return e.join(i, near & F.col(f"e.{at}").between(F.col("i.start_dt"), F.col("i.end_dt")), "left_semi").drop("_c")
+
+
+def containing(events: DataFrame, intervals: DataFrame, key: str, at: str, width: int = 32) -> DataFrame:
+    """Each event with each interval of its key that contains its date: columns of events, then the other columns of intervals. A date lies in one slice, so each pair comes once."""
+    e = events.withColumn("_c", cell(F.col(at), width))
+    i = in_cells(intervals, width).withColumnRenamed(key, "_k")
+    return e.join(i, (F.col(key) == F.col("_k")) & (e["_c"] == i["_c"]) & F.col(at).between(F.col("start_dt"), F.col("end_dt"))).drop("_k", "_c")
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, width: int = 32) -> DataFrame:
+    """Pairs of intervals of one key that share a date: columns of left, and those of right behind `other_`.
+
+    A pair meets in every slice that both touch; it is kept in the one where the later of the two starts.
+    """
+    a = in_cells(left, width)
+    b = in_cells(right, width).select(*(F.col(c).alias(f"other_{c}") for c in (*right.columns, "_c")))
+    touch = (F.col("start_dt") <= F.col("other_end_dt")) & (F.col("other_start_dt") <= F.col("end_dt"))
+    once = F.col("_c") == cell(F.greatest("start_dt", "other_start_dt"), width)
+    return a.join(b, (F.col(key) == F.col(f"other_{key}")) & (F.col("_c") == F.col("other__c")) & touch & once).drop("_c", f"other_{key}", "other__c")
 
 
 def overlapping(intervals: DataFrame, start, end) -> DataFrame:

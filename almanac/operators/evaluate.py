@@ -66,9 +66,9 @@ def quantile_spread(df: DataFrame, fraction: float = 0.2, least: int = 30) -> Da
 def neutralize(df: DataFrame, score: str, size: str, industry: str, min_group: int = 5, least: int = 30, out: str = "neutral") -> DataFrame:
     """Residual of score on size and industry within each date, by partialling out the industry means, scaled to deviation 1.
 
-    Groups under min_group are left out; a date needs `least` rows, size must vary and the rows exceed the columns by more than 5.
+    Rows without a finite score and size or without an industry are left out, and so are groups under min_group; a date needs `least` rows, size must vary and the rows exceed the columns by more than 5.
     """
-    x = df.where(F.col(score).isNotNull() & F.col(size).isNotNull() & F.col(industry).isNotNull())
+    x = df.withColumns({c: finite(F.col(c)) for c in (score, size)}).where(F.col(score).isNotNull() & F.col(size).isNotNull() & F.col(industry).isNotNull())
     group, day = W.partitionBy("dt", industry), W.partitionBy("dt")
     x = x.withColumn("_g", F.count("*").over(group)).where(F.col("_g") >= min_group)
     x = x.withColumn("_y", F.col(score) - F.avg(score).over(group)).withColumn("_z", F.col(size) - F.avg(size).over(group))
