@@ -426,12 +426,12 @@ def illiquidity(spark, d):
 
 
 def queries() -> dict:
-    from almanac import catalog_checks, catalog_more  # noqa: F401
+    from almanac import catalog_checks, catalog_ledger, catalog_more  # noqa: F401
 
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from almanac import catalog_checks, catalog_more  # noqa: F401
+    from almanac import catalog_checks, catalog_ledger, catalog_more  # noqa: F401
 
     return dict(O)

@@ -18,16 +18,22 @@ SCALES = {"元": 1, "千元": 1_000, "万元": 10_000, "百万元": 1_000_000, "
 KINDS = {"RANGE": "110", "POINT": "001", "APPROX_POINT": "001", "OPEN_LOWER": "100", "OPEN_UPPER": "010", "MISSING": "000"}
 
 
+def written(x: Column) -> Column:
+    """A number as Python writes a float (between 0.0001 and 1e16 in size), None for null: what serials within a date are ordered by."""
+    plain = F.regexp_replace(x.cast("double").cast("string").cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.coalesce(F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain), F.lit("None"))
+
+
 def merge_typed(records: DataFrame, keys: list[str], values: list[str], ident: str, status: str = "data_status") -> DataFrame:
     """One event per key and equal values: its idents in order, a serial within the key, and its status.
 
-    A key with different values is quarantined whole; otherwise an event of any quarantined record keeps the first such
-    status by name, and else the status of its first record.
+    Serials follow the order of the values' text, so 10.0 comes before 9.0. A key with different values is quarantined whole; otherwise
+    an event of any quarantined record keeps the first such status by name, and else the status of its first record.
     """
     merged = records.groupBy(*keys, *values).agg(F.sort_array(F.collect_list(ident)).alias("ids"), F.min(F.when(F.col(status).startswith("QUARANTINED"), F.col(status))).alias("_bad"), F.min_by(status, ident).alias("_first"))
     key = W.partitionBy(*keys)
     several = F.count("*").over(key) > 1
-    serial = F.row_number().over(key.orderBy(*(F.col(v).asc_nulls_last() for v in values)))
+    serial = F.row_number().over(key.orderBy(F.concat_ws(", ", *(written(F.col(v)) for v in values))))
     out = merged.withColumn("serial", serial).withColumn("same_date_conflict", several)
     return out.withColumn(status, F.when(F.col("same_date_conflict"), "QUARANTINED_SAME_DATE_VALUES").otherwise(F.coalesce("_bad", "_first"))).drop("_bad", "_first")
 
