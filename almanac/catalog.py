@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.functions import dsl
-from almanac.functions.cross import past, percent_rank, ratio
+from almanac.functions import dsl, fundamentals
+from almanac.functions.cross import past, ratio
 from almanac.operators import asof, decide, evaluate, events
 from almanac.plans import panel
 from almanac.sources.tables import table
@@ -207,13 +207,11 @@ def ic_summary_by_year(spark, d):
 
 @query(
     "ic_decay",
-    f"WITH {SCORED}, h AS (SELECT unnest([1, 2, 5, 10, 20]) AS h), l AS (SELECT h, s.dt, s.score, b.close / a.close - 1 AS label FROM scored s CROSS JOIN h JOIN dense a ON a.inst = s.inst AND a.t = s.t + 1 JOIN dense b ON b.inst = s.inst AND b.t = s.t + 1 + h), {ic_sql('l', by='h, dt')} SELECT h, {SUMMARY} FROM daily GROUP BY h",
+    f"WITH {SCORED}, h AS (SELECT unnest([1, 2, 5, 10, 20]) AS h), l AS (SELECT h, s.dt, s.score, b.close / a.close - 1 AS label FROM scored s CROSS JOIN h JOIN dense a ON a.inst = s.inst AND a.t = s.t + 1 JOIN dense b ON b.inst = s.inst AND b.t = s.t + 1 + h), {ic_sql('l', by='h, dt')} SELECT h, {SUMMARY}, max(dt) FILTER (ic IS NOT NULL) AS last_usable FROM daily GROUP BY h",
 )
 def ic_decay(spark, d):
-    s, w = scored(spark, d).drop("label"), past()
-    wide = s.select("dt", "score", *((ratio(F.lead("close", h + 1).over(w), F.lead("close", 1).over(w)) - 1).alias(str(h)) for h in (1, 2, 5, 10, 20)))
-    long = wide.unpivot(["dt", "score"], ["1", "2", "5", "10", "20"], "h", "label").withColumn("h", F.col("h").cast("int"))
-    return _summary(evaluate.daily_ic(long, by=("h", "dt"), least=LEAST), "h")
+    out = evaluate.decay(scored(spark, d).drop("label"), least=LEAST)
+    return out.select("h", "days", "pairs", "last_usable", *(r(c) for c in out.columns if c not in ("h", "days", "pairs", "last_usable")))
 
 
 @query(
@@ -225,9 +223,8 @@ def regime_stability(spark, d):
     daily = evaluate.daily_ic(scored(spark, d), least=LEAST)
     total = lambda c: F.sum(F.col(c).cast("decimal(28,4)")).cast("double")
     level = panel.bars(spark, d).groupBy("dt").agg((total("amount") / total("volume")).alias("level"))
-    m = F.col("level") / F.lag("level", 3).over(W.orderBy("dt")) - 1
-    regime = level.withColumn("m", m).select("dt", F.when(F.col("m") > 0.01, "bull").when(F.col("m") < -0.01, "bear").when(F.col("m").isNotNull(), "sideways").alias("regime"))
-    return _summary(daily.join(F.broadcast(regime), "dt").where("regime is not null"), "regime")
+    regime = level.select("dt", fundamentals.regime(F.col("level"), 3, 0.01).alias("regime"))
+    return _summary(daily.join(regime, "dt").where("regime is not null"), "regime")
 
 
 _PAIRS = ("mom", "rev", "vol")
@@ -239,9 +236,7 @@ SELECT a, b, round(avg(rank_ic), 6) + 0.0 AS rho, count(rank_ic) AS days FROM da
 @query("factor_correlation", _CORR)
 def factor_correlation(spark, d):
     f = dsl.evaluate(panel.market(spark, d), {"mom": "close / Ref(close, 3) - 1", "rev": "-(close / Ref(close, 5) - 1)", "vol": "Std(returns, 6)"})
-    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("score"), F.col(b).alias("label")) for i, a in enumerate(_PAIRS) for b in _PAIRS[i:])))
-    daily = evaluate.daily_ic(f.select("dt", pairs.alias("p")).select("dt", "p.*"), by=("a", "b", "dt"), least=LEAST)
-    return daily.groupBy("a", "b").agg(F.avg("rank_ic").alias("rho"), F.count("rank_ic").alias("days")).select("a", "b", r("rho"), "days")
+    return evaluate.correlations(f, list(_PAIRS), LEAST).select("a", "b", r("rho"), "days")
 
 
 @query(
@@ -262,22 +257,24 @@ def coverage_by_year(spark, d):
 
 
 _STATS = f"""WITH {SCORED}, {ic_sql('scored')}, c AS (SELECT count(*) FILTER (is_member AND score IS NOT NULL) / count(*) FILTER (is_member) AS coverage FROM scored), s AS (SELECT count(rank_ic) AS days, avg(rank_ic) AS rank_ic, avg((rank_ic > 0)::INT::DOUBLE) AS positive FROM daily),
-t AS (SELECT v.net, v.pool, c.coverage, s.days, s.rank_ic, s.positive FROM c, s, (VALUES (0.02, NULL), (0.02, 0.5), (-0.01, 0.95)) AS v(net, pool)),
-g AS (SELECT *, list_filter([CASE WHEN coverage < 0.7 THEN 'validation_gate:coverage' END, CASE WHEN days < 50 THEN 'validation_gate:days' END, CASE WHEN rank_ic IS NULL OR rank_ic < -1 THEN 'validation_gate:rank_ic' END, CASE WHEN positive IS NULL OR positive < 0 THEN 'validation_gate:positive_rank_ic_ratio' END, CASE WHEN net <= 0 THEN 'validation_gate:net_excess_annual' END, CASE WHEN abs(pool) >= 0.9 THEN 'redundant_with_existing_keep_pool' END], lambda x: x IS NOT NULL) AS bad,
+t AS (SELECT v.net, v.pool, v.worse, c.coverage - greatest(v.worse, 0) AS coverage, round(s.days * (1 - v.worse))::BIGINT AS days, s.rank_ic - v.worse AS rank_ic, s.positive - v.worse AS positive FROM c, s, (VALUES (0.02, NULL, 0), (0.02, 0.5, 0), (-0.01, 0.95, 0), (0.02, 0.5, 0.2), (NULL, 0.1, -0.2)) AS v(net, pool, worse)),
+g AS (SELECT *, list_filter([CASE WHEN coverage < 0.85 THEN 'validation_gate:coverage' END, CASE WHEN days < 75 THEN 'validation_gate:days' END, CASE WHEN rank_ic IS NULL OR rank_ic < -0.1 THEN 'validation_gate:rank_ic' END, CASE WHEN positive IS NULL OR positive < 0.3 THEN 'validation_gate:positive_rank_ic_ratio' END, CASE WHEN net IS NULL OR net <= 0 THEN 'validation_gate:net_excess_annual' END, CASE WHEN abs(pool) >= 0.9 THEN 'redundant_with_existing_keep_pool' END], lambda x: x IS NOT NULL) AS bad,
 list_filter(['missing_exposure:industry', CASE WHEN pool IS NULL THEN 'existing_keep_pool_unavailable' END], lambda x: x IS NOT NULL) AS waiting FROM t)
-SELECT net AS net_excess_annual, days, CASE WHEN len(bad) > 0 THEN 'REJECT' ELSE 'FORWARD' END AS status, array_to_string(CASE WHEN len(bad) > 0 THEN bad ELSE waiting END, ',') AS reasons FROM g"""
+SELECT net::DOUBLE AS net_excess_annual, worse::DOUBLE AS worse, days, CASE WHEN len(bad) > 0 THEN 'REJECT' ELSE 'FORWARD' END AS status, array_to_string(CASE WHEN len(bad) > 0 THEN bad ELSE waiting END, ',') AS reasons FROM g"""
 
 
 @query("factor_decision", _STATS)
 def factor_decision(spark, d):
-    """The rules on one factor under three assumptions about its net excess and the pool; the thresholds fit a panel of months, not of days."""
+    """The rules on one factor as it is and made worse, under assumptions about its net excess and the pool; the thresholds fit a panel of months, and every gate fires in one case."""
     s = scored(spark, d)
     ic = evaluate.daily_ic(s, least=LEAST).agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("rank_ic"), F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("positive_rank_ic_ratio"))
     coverage = s.agg((F.count_if(F.col("is_member") & F.col("score").isNotNull()) / F.count_if("is_member")).alias("coverage"))
-    cases = F.explode(F.array(*(F.struct(F.lit(n).alias("net_excess_annual"), F.lit(p).cast("double").alias("pool_corr")) for n, p in ((0.02, None), (0.02, 0.5), (-0.01, 0.95)))))
+    cases = F.explode(F.array(*(F.struct(F.lit(n).cast("double").alias("net_excess_annual"), F.lit(p).cast("double").alias("pool_corr"), F.lit(float(w)).alias("worse")) for n, p, w in ((0.02, None, 0), (0.02, 0.5, 0), (-0.01, 0.95, 0), (0.02, 0.5, 0.2), (None, 0.1, -0.2)))))
     stats = ic.withColumn("coverage", coverage.scalar()).select("*", cases.alias("c")).select("coverage", "days", "rank_ic", "positive_rank_ic_ratio", "c.*")
-    out = decide.decide(stats, {"min_coverage": 0.7, "min_days": 50, "min_rank_ic": -1, "min_positive_ratio": 0, "max_pool_corr": 0.9}, ("industry",))
-    return out.select("net_excess_annual", "days", "status", F.array_join("reasons", ",").alias("reasons"))
+    worse = F.col("worse")
+    stats = stats.withColumns({"coverage": F.col("coverage") - F.greatest(worse, F.lit(0.0)), "days": F.round(F.col("days") * (1 - worse)).cast("long"), "rank_ic": F.col("rank_ic") - worse, "positive_rank_ic_ratio": F.col("positive_rank_ic_ratio") - worse})
+    out = decide.decide(stats, {"min_coverage": 0.85, "min_days": 75, "min_rank_ic": -0.1, "min_positive_ratio": 0.3, "max_pool_corr": 0.9}, ("industry",))
+    return out.select("net_excess_annual", "worse", "days", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 _EVENTS = """ev AS (SELECT o_custkey AS code, o_orderdate::DATE AS pub, (date_trunc('quarter', o_orderdate::DATE - (o_orderkey % 400)::INT) - INTERVAL 1 DAY)::DATE AS stat, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS x, o_orderkey AS k FROM orders),
@@ -400,17 +397,13 @@ def event_active_until(spark, d):
 
 @query("purged_folds", f"WITH {MARKET}, y AS (SELECT unnest(range(1998, 2002))::INT AS test_year), c AS (SELECT test_year, dt, t, CASE WHEN year(dt) < test_year - 1 THEN 'train' WHEN year(dt) = test_year - 1 THEN 'valid' WHEN year(dt) = test_year THEN 'test' END AS part FROM y CROSS JOIN cal), k AS (SELECT *, row_number() OVER (PARTITION BY test_year, part ORDER BY t DESC) AS back FROM c WHERE part IS NOT NULL) SELECT test_year, part, min(dt) AS start_dt, max(dt) AS end_dt, count(*) AS n FROM k WHERE back > 2 OR part = 'test' GROUP BY ALL")
 def purged_folds(spark, d):
-    cal = panel.calendar(panel.bars(spark, d)).withColumn("test_year", F.explode(F.sequence(F.lit(1998), F.lit(2001))))
-    y = F.year("dt")
-    c = cal.withColumn("part", F.when(y < F.col("test_year") - 1, "train").when(y == F.col("test_year") - 1, "valid").when(y == F.col("test_year"), "test")).where("part is not null")
-    c = c.withColumn("back", F.row_number().over(W.partitionBy("test_year", "part").orderBy(F.desc("t"))))
-    return c.where("back > 2 or part = 'test'").groupBy("test_year", "part").agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.count("*").alias("n"))
+    return evaluate.folds(panel.calendar(panel.bars(spark, d)), [1998, 1999, 2000, 2001])
 
 
 @query("label_rank_normalize", f"WITH {SCORED}, x AS (SELECT dt, inst, label FROM scored WHERE label IS NOT NULL) SELECT dt, inst, round(((rank() OVER (PARTITION BY dt ORDER BY label) + (count(*) OVER (PARTITION BY dt, label) - 1) / 2) / count(*) OVER (PARTITION BY dt) - 0.5) * 3.46, 9) + 0.0 AS norm FROM x")
 def label_rank_normalize(spark, d):
     x = scored(spark, d).where("label is not null")
-    return x.select("dt", "inst", r((percent_rank(F.col("label"), "dt") - 0.5) * 3.46, 9).alias("norm"))
+    return x.select("dt", "inst", r(evaluate.normalized_label("label"), 9).alias("norm"))
 
 
 @query("request_plan", "WITH s AS (SELECT s_suppkey AS symbol FROM supplier), m AS (SELECT unnest(['profit', 'growth']) AS method), y AS (SELECT unnest(range(1995, 2002))::INT AS year), q AS (SELECT unnest([1, 2, 3, 4])::INT AS quarter) SELECT symbol, method, year, quarter FROM s CROSS JOIN m CROSS JOIN y CROSS JOIN q WHERE year < 2001 OR quarter <= 3")
@@ -421,17 +414,16 @@ def request_plan(spark, d):
 
 @query("illiquidity", f"WITH {MARKET} SELECT dt, inst, round(ln(1 + 1e6 * ({_win('avg', 'z', 20)})), 6) + 0.0 AS illiquidity FROM (SELECT *, abs(returns) / nullif(amount, 0) AS z FROM market)")
 def illiquidity(spark, d):
-    m = panel.market(spark, d).withColumn("move", ratio(F.abs("returns"), F.when(F.col("amount") > 0, F.col("amount"))))
-    return dsl.evaluate(m, {"z": "Mean(move, 20)"}, extra=frozenset({"move"})).select("dt", "inst", r(F.log1p(F.col("z") * 1e6)).alias("illiquidity"))
+    return panel.market(spark, d).select("dt", "inst", r(fundamentals.illiquidity()).alias("illiquidity"))
 
 
 def queries() -> dict:
-    from almanac import catalog_checks, catalog_ledger, catalog_more  # noqa: F401
+    from almanac import catalog_checks, catalog_ledger, catalog_more, catalog_proofs  # noqa: F401
 
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from almanac import catalog_checks, catalog_ledger, catalog_more  # noqa: F401
+    from almanac import catalog_checks, catalog_ledger, catalog_more, catalog_proofs  # noqa: F401
 
     return dict(O)

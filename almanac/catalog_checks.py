@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.catalog import LEAST, MARKET, SCORED, _win, ic_sql, query, r, scored
-from almanac.catalog_more import _FACTORS, _LONG, _RAW, _canonical, _features, _long
+from almanac.catalog import LEAST, MARKET, SCORED, query, r, scored
+from almanac.catalog_more import _LONG, _RAW, _canonical, _features, _long, bootstrap_sql
 from almanac.functions import dsl, fundamentals
 from almanac.functions.cross import past
 from almanac.operators import asof, audit, evaluate, order, statistics
@@ -190,19 +190,7 @@ def neutralize_checks(spark, d):
     return statistics.orthogonality(x, "neutral", ["size"], "g").select("dt", "n", (F.col("orthogonality_error") < 1e-9).alias("orthogonal"))
 
 
-# Resampling: starts come from a hash, so SQL draws the same blocks.
-def _bootstrap_sql(source: str, block: int, samples: int, seed: int) -> str:
-    """Common tables (bs): factor, n, mean, low, high, p of the series in `source` (factor, dt, x)."""
-    return f"""bo AS (SELECT factor, x, row_number() OVER (PARTITION BY factor ORDER BY dt) - 1 AS p, count(*) OVER (PARTITION BY factor) AS n FROM {source}),
-bw AS (SELECT factor, n, count(x) AS k, avg(x) AS mean FROM bo GROUP BY 1, 2),
-bd AS (SELECT n, s, i, ('0x' || substr(md5('{seed}:' || s || ':' || i), 1, 12))::BIGINT % n AS start FROM (SELECT DISTINCT n FROM bw), range(1, {samples} + 1) a(s), range(1, 400) b(i) WHERE i <= ceil(n / {block})),
-bp AS (SELECT n, s, (start + j) % n AS p FROM bd, range({block}) c(j) WHERE (i - 1) * {block} + j < n),
-bm AS (SELECT factor, s, avg(x) AS m FROM bp JOIN bo USING (n, p) GROUP BY 1, 2),
-bq AS (SELECT factor, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, (1 + count(*) FILTER (m - mean >= mean)) / (count(*) + 1) AS p FROM bm JOIN bw USING (factor) GROUP BY 1),
-bs AS (SELECT factor, n, CASE WHEN k >= {max(40, 2 * block)} THEN mean END AS mean, CASE WHEN k >= {max(40, 2 * block)} THEN low END AS low, CASE WHEN k >= {max(40, 2 * block)} THEN high END AS high, CASE WHEN k >= {max(40, 2 * block)} THEN bq.p ELSE 1 END AS p FROM bw JOIN bq USING (factor))"""
-
-
-@query("block_bootstrap", f"WITH {_LONG}, sr AS (SELECT factor, dt, rank_ic AS x FROM daily), {_bootstrap_sql('sr', 6, 500, 42)} SELECT factor, n, round(mean, 6) + 0.0 AS mean, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(p, 9) AS p FROM bs")
+@query("block_bootstrap", f"WITH {_LONG}, sr AS (SELECT factor, dt, rank_ic AS x FROM daily), {bootstrap_sql('sr', 6, 500, 42)} SELECT factor, n, round(mean, 6) + 0.0 AS mean, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(p, 9) AS p FROM bs")
 def block_bootstrap(spark, d):
     daily = evaluate.daily_ic(_long(spark, d), by=("factor", "dt"), least=LEAST)
     out = statistics.bootstrap(daily, "rank_ic", ["factor"], block=6, samples=500)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.catalog import LEAST, MARKET, SCORED, _win, ic_sql, query, r, scored
+from almanac.catalog import LEAST, MARKET, SCORED, _win, ic_sql, query, r, report, reports_sql, scored
 from almanac.functions import dsl, fundamentals
 from almanac.functions.cross import past, ratio
 from almanac.operators import asof, decide, evaluate, ledger, statements, statistics, validate
@@ -43,10 +43,19 @@ def circulating_cap(spark, d):
     return _canonical(spark, d).select("instrument", "dt", r(fundamentals.positive_log(canonical.circulating_cap()), 9).alias("log_cap"))
 
 
-@query("bar_validation", f"WITH {_RAW} SELECT unnest(['duplicate_bar', 'invalid_active_price', 'invalid_price_order', 'missing_status', 'missing_traded_volume_or_amount', 'negative_volume_or_amount']) AS rule, unnest([count(*) - count(DISTINCT (inst, dt)), count(*) FILTER (active AND volume > 0 AND least(open, high, low, close) <= 0), count(*) FILTER (NOT is_suspended AND volume > 0 AND (high < greatest(open, close) OR low > least(open, close))), 0, 0, count(*) FILTER (volume < 0 OR amount < 0)]) AS n FROM canon")
+@query(
+    "bar_validation",
+    f"WITH {_RAW}, y AS (SELECT inst, dt, CASE WHEN k % 61 = 1 THEN -open ELSE open END AS open, CASE WHEN k % 67 = 2 THEN low / 2 ELSE high END AS high, CASE WHEN k % 71 = 3 THEN NULL ELSE low END AS low, close, CASE WHEN k % 73 = 4 THEN -volume ELSE volume END AS volume, CASE WHEN k % 79 = 5 THEN NULL ELSE amount END AS amount, CASE WHEN k % 83 = 6 THEN NULL ELSE (NOT is_suspended)::INT END AS status, k FROM (SELECT *, inst * 7 + year(dt) * 12 + month(dt) AS k FROM canon)), "
+    "z AS (SELECT * FROM y UNION ALL SELECT * FROM y WHERE k % 59 = 0), v AS (SELECT *, coalesce(status = 1, false) AND coalesce(volume, 0) > 0 AS act, row_number() OVER (PARTITION BY inst, dt) AS again FROM z) "
+    "SELECT unnest(['duplicate_bar', 'missing_status', 'invalid_active_price', 'invalid_price_order', 'missing_traded_volume_or_amount', 'negative_volume_or_amount']) AS rule, unnest([count(*) FILTER (again > 1), count(*) FILTER (status IS NULL), count(*) FILTER (act AND (open IS NULL OR open <= 0 OR high IS NULL OR high <= 0 OR low IS NULL OR low <= 0 OR close IS NULL OR close <= 0)), count(*) FILTER (act AND (high < greatest(open, high, low, close) OR low > least(open, high, low, close))), count(*) FILTER (act AND (volume IS NULL OR amount IS NULL)), count(*) FILTER (volume < 0 OR amount < 0)]) AS n FROM v",
+)
 def bar_validation(spark, d):
+    """Bars with planted faults of every kind."""
     x = _canonical(spark, d).withColumn("tradestatus", (~F.col("is_suspended")).cast("int")).withColumn("isST", F.col("is_st").cast("int"))
-    return validate.bar_violations(x)
+    k = F.substring("instrument", 3, 9).cast("long") * 7 + F.year("dt") * 12 + F.month("dt")
+    bad = {"open": F.when(k % 61 == 1, -F.col("open")).otherwise(F.col("open")), "high": F.when(k % 67 == 2, F.col("low") / 2).otherwise(F.col("high")), "low": F.when(k % 71 != 3, F.col("low")), "volume": F.when(k % 73 == 4, -F.col("volume")).otherwise(F.col("volume")), "amount": F.when(k % 79 != 5, F.col("amount")), "tradestatus": F.when(k % 83 != 6, F.col("tradestatus"))}
+    y = x.withColumns(bad)
+    return validate.bar_violations(y.unionByName(y.where(k % 59 == 0)))
 
 
 @query("value_yield_lagged", f"WITH {MARKET} SELECT dt, inst, round(CASE WHEN lag(close) OVER i > 0 THEN 1 / lag(close) OVER i END, 9) + 0.0 AS yield FROM market WINDOW i AS (PARTITION BY inst ORDER BY t)")
@@ -54,10 +63,14 @@ def value_yield_lagged(spark, d):
     return panel.market(spark, d).select("dt", "inst", r(fundamentals.lagged_yield(F.col("close")), 9).alias("yield"))
 
 
-@query("paper_factors", f"WITH {MARKET} SELECT dt, inst, round(CASE WHEN open <> 0 AND close / open > 0 THEN ln(close / open) END, 6) + 0.0 AS intraday, round(CASE WHEN high <> low THEN (close - open) / (high - low) END, 6) + 0.0 AS body, round(close - lag(close, 5) OVER i, 6) + 0.0 AS change5 FROM market WINDOW i AS (PARTITION BY inst ORDER BY t)")
+@query("paper_factors", f"WITH {MARKET} SELECT dt, inst, round(CASE WHEN open <> 0 AND close / open > 0 THEN ln(close / open) END, 6) + 0.0 AS \"OPEN_TO_CLOSE\", round((close - open) / (high - low + 0.001), 6) + 0.0 AS \"BODY\" FROM market")
 def paper_factors(spark, d):
-    names = {"intraday": "Log(close / open)", "body": "(close - open) / (high - low)", "change5": "Delta(close, 5)"}
-    return dsl.evaluate(panel.market(spark, d), names).select("dt", "inst", *(r(c) for c in names))
+    return dsl.evaluate(panel.market(spark, d), dsl.PAPER).select("dt", "inst", *(r(c) for c in dsl.PAPER))
+
+
+@query("candidate_factors", f"WITH {MARKET}, c AS (SELECT dt, inst, close / lag(close, 5) OVER i - 1 AS m5, close / lag(close, 20) OVER i - 1 AS m20, turnover / nullif({_win('avg', 'turnover', 20)}, 0) AS t20, turnover / nullif({_win('avg', 'turnover', 60)}, 0) AS t60 FROM market WINDOW i AS (PARTITION BY inst ORDER BY t)) SELECT dt, inst, round(-m5 / (1 + t20), 6) + 0.0 AS \"QUIET_REVERSAL\", round(m20 * t60 / (1 + t60), 6) + 0.0 AS \"ACTIVE_CONTINUATION\" FROM c")
+def candidate_factors(spark, d):
+    return dsl.evaluate(panel.market(spark, d), dsl.CANDIDATES).select("dt", "inst", *(r(c) for c in dsl.CANDIDATES))
 
 
 # Statements: a supplier's quarters, each published 20 to 79 days after its end.
@@ -112,9 +125,10 @@ def missing_requests(spark, d):
     return statements.missing_requests(requests, answers, ["code", "period"])
 
 
-@query("registry_latest_keep", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("registry_latest_keep", "SELECT user_id, event_id, event_type FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type = 'purchase'")
 def registry_latest_keep(spark, d):
-    return statements.latest(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+    """Users whose latest event is a purchase: one that was followed by another event does not count."""
+    return statements.latest(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "event_id", "event_type")
 
 
 @query("reading_errors", "SELECT event_type, count(*) AS n, count(value) AS pairs, round(median(abs(value - round(value, 1))), 9) + 0.0 AS median, round(quantile_cont(abs(value - round(value, 1)), 0.95), 9) + 0.0 AS p95, count(*) FILTER (abs(value - round(value, 1)) <= 0.01) AS within_0 FROM events GROUP BY 1")
@@ -187,6 +201,18 @@ def memory_retrieval(spark, d):
     return ledger.retrieve(table(spark, d, "part"), F.col("p_name"), "p_partkey", "small blue ring", 50).select("p_partkey", "p_name", "relevance")
 
 
+# Resampling: starts come from a hash, so SQL draws the same blocks.
+def bootstrap_sql(source: str, block: int, samples: int, seed: int) -> str:
+    """Common tables (bs): factor, n, mean, low, high, p of the series in `source` (factor, dt, x)."""
+    return f"""bo AS (SELECT factor, x, row_number() OVER (PARTITION BY factor ORDER BY dt) - 1 AS p, count(*) OVER (PARTITION BY factor) AS n FROM {source}),
+bw AS (SELECT factor, n, count(x) AS k, avg(x) AS mean FROM bo GROUP BY 1, 2),
+bd AS (SELECT n, s, i, ('0x' || substr(md5('{seed}:' || s || ':' || i), 1, 12))::BIGINT % n AS start FROM (SELECT DISTINCT n FROM bw), range(1, {samples} + 1) a(s), range(1, 400) b(i) WHERE i <= ceil(n / {block})),
+bp AS (SELECT n, s, (start + j) % n AS p FROM bd, range({block}) c(j) WHERE (i - 1) * {block} + j < n),
+bm AS (SELECT factor, s, avg(x) AS m FROM bp JOIN bo USING (n, p) GROUP BY 1, 2),
+bq AS (SELECT factor, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, (1 + count(*) FILTER (m - mean >= mean)) / (count(*) + 1) AS p FROM bm JOIN bw USING (factor) GROUP BY 1),
+bs AS (SELECT factor, n, CASE WHEN k >= {max(40, 2 * block)} THEN mean END AS mean, CASE WHEN k >= {max(40, 2 * block)} THEN low END AS low, CASE WHEN k >= {max(40, 2 * block)} THEN high END AS high, CASE WHEN k >= {max(40, 2 * block)} THEN bq.p ELSE 1 END AS p FROM bw JOIN bq USING (factor))"""
+
+
 # Decisions and statistics over three factors.
 _FACTORS = {"mom": "close / Ref(close, 3) - 1", "rev": "-(close / Ref(close, 5) - 1)", "vol": "Std(returns, 6)"}
 _LONG = f"""{MARKET}, f AS (SELECT dt, inst, close / lag(close, 3) OVER i - 1 AS mom, -(close / lag(close, 5) OVER i - 1) AS rev, {_win('stddev_samp', 'returns', 6)} AS vol, lead(close, 3) OVER i / lead(close, 1) OVER i - 1 AS label FROM market WINDOW i AS (PARTITION BY inst ORDER BY t)),
@@ -203,30 +229,40 @@ def _long(spark, d) -> DataFrame:
     return _features(spark, d).select("dt", "label", each.alias("e")).select("dt", "label", "e.*")
 
 
+def _judged(daily: DataFrame) -> DataFrame:
+    """(factor, rank_ic, q): the mean and the adjusted p-value of each factor, in a family of four."""
+    p = statistics.bootstrap(daily, "rank_ic", ["factor"], block=6, samples=200, seed=7)
+    q = evaluate.bh_adjust(p, "p", family=4).select(F.col("factor").alias("_f"), "q")
+    return daily.groupBy("factor").agg(F.avg("rank_ic").alias("rank_ic")).join(q, F.col("factor") == F.col("_f")).drop("_f")
+
+
+#: What _judged says, as common tables; `t` has factor, rank_ic and q.
+_JUDGED_SQL = f"""sr AS (SELECT factor, dt, rank_ic AS x FROM daily), {bootstrap_sql('sr', 6, 200, 7)}, kq AS (SELECT *, row_number() OVER (ORDER BY p) AS k FROM bs),
+aq AS (SELECT factor, least(1.0, min(p * 4 / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM kq), t AS (SELECT factor, avg(rank_ic) AS rank_ic, any_value(q) AS q FROM daily JOIN aq USING (factor) GROUP BY 1)"""
+
+
 @query(
     "screen_gate",
-    f"""WITH {_LONG}, y AS (SELECT factor, year(dt) AS year, avg(rank_ic) AS rank_ic, count(rank_ic) / count(*) AS coverage FROM daily GROUP BY 1, 2), t AS (SELECT factor, avg(rank_ic) AS rank_ic FROM daily GROUP BY 1),
+    f"""WITH {_LONG}, {_JUDGED_SQL}, y AS (SELECT factor, year(dt) AS year, avg(rank_ic) AS rank_ic, count(rank_ic) / count(*) AS coverage FROM daily GROUP BY 1, 2),
 g AS (SELECT factor, bool_and(coalesce(coverage >= 0.5, false)) AS covered, bool_and(coalesce(rank_ic > 0, false)) AS positive FROM y GROUP BY 1)
-SELECT factor, covered AND positive AND coalesce(rank_ic >= 0.0, false) AS passed FROM t JOIN g USING (factor)""",
+SELECT factor, covered AND positive AND coalesce(rank_ic >= -0.05, false) AND q <= 0.5 AS passed FROM t JOIN g USING (factor)""",
 )
 def screen_gate(spark, d):
     daily = evaluate.daily_ic(_long(spark, d), by=("factor", "dt"), least=LEAST)
     yearly = daily.groupBy("factor", F.year("dt").alias("year")).agg(F.avg("rank_ic").alias("rank_ic"), (F.count("rank_ic") / F.count("*")).alias("coverage"))
-    totals = daily.groupBy("factor").agg(F.avg("rank_ic").alias("rank_ic"), F.lit(0.0).alias("q"))
-    return decide.screen_pass(yearly, totals, "factor", 0.5, 0.0, 0.1)
+    return decide.screen_pass(yearly, _judged(daily), "factor", 0.5, -0.05, 0.5)
 
 
 @query(
     "supplementary_gate",
-    f"""WITH {_LONG}, y AS (SELECT factor, year(dt) AS year, avg(rank_ic) AS rank_ic, count(rank_ic) / count(*) AS coverage FROM daily GROUP BY 1, 2), t AS (SELECT factor, avg(rank_ic) AS rank_ic FROM daily GROUP BY 1),
+    f"""WITH {_LONG}, {_JUDGED_SQL}, y AS (SELECT factor, year(dt) AS year, avg(rank_ic) AS rank_ic, count(rank_ic) / count(*) AS coverage FROM daily GROUP BY 1, 2),
 g AS (SELECT factor, bool_and(coalesce(coverage >= 0.2, false)) AS covered, count(*) FILTER (year IN (1996, 1997, 1998, 1999) AND rank_ic > 0) AS positive_full_years FROM y GROUP BY 1)
-SELECT factor, CASE WHEN covered AND coalesce(rank_ic >= -0.05, false) AND positive_full_years >= 1 THEN 'IC_SCREEN_PASS' ELSE 'IC_SCREEN_REJECT' END AS status, covered, positive_full_years, CASE WHEN covered THEN 'DATA_READY_FOR_BOUNDED_MODEL_PROTOCOL' ELSE 'DATA_COVERAGE_BLOCKED' END AS queue FROM t JOIN g USING (factor)""",
+SELECT factor, CASE WHEN covered AND coalesce(rank_ic >= -0.05, false) AND q <= 0.5 AND positive_full_years >= 1 THEN 'IC_SCREEN_PASS' ELSE 'IC_SCREEN_REJECT' END AS status, covered, positive_full_years, CASE WHEN covered THEN 'DATA_READY_FOR_BOUNDED_MODEL_PROTOCOL' ELSE 'DATA_COVERAGE_BLOCKED' END AS queue FROM t JOIN g USING (factor)""",
 )
 def supplementary_gate(spark, d):
     daily = evaluate.daily_ic(_long(spark, d), by=("factor", "dt"), least=LEAST)
     yearly = daily.groupBy("factor", F.year("dt").alias("year")).agg(F.avg("rank_ic").alias("rank_ic"), (F.count("rank_ic") / F.count("*")).alias("coverage"))
-    totals = daily.groupBy("factor").agg(F.avg("rank_ic").alias("rank_ic"), F.lit(0.0).alias("q"))
-    return decide.supplementary(yearly, totals, "factor", [1996, 1997, 1998, 1999], 0.2, -0.05, 0.1, 1)
+    return decide.supplementary(yearly, _judged(daily), "factor", [1996, 1997, 1998, 1999], 0.2, -0.05, 0.5, 1)
 
 
 @query("coverage_gate", f"WITH {_LONG}, n AS (SELECT factor, dt, count(score) AS n FROM l WHERE score IS NOT NULL GROUP BY 1, 2) SELECT factor, sum(n)::BIGINT AS observed, count(*) FILTER (n >= 50) AS eligible_dates, CASE WHEN count(*) FILTER (n >= 50) >= 70 AND count(*) FILTER (n >= 50 AND year(dt) = 1996) >= 12 THEN 'PASS_COVERAGE_ONLY' ELSE 'NO_GO_DATA_COVERAGE' END AS gate FROM n GROUP BY factor")
@@ -255,13 +291,31 @@ def pca_projection(spark, d):
     return statistics.fit_basis(x, list(_FACTORS), target=0.99, least=100).project(x).select("dt", "inst", "PC01", "PC02")
 
 
-@query(
-    "paired_increment",
-    "WITH x AS (SELECT l_shipdate::DATE AS dt, l_linenumber % 2 AS side, avg(l_discount::DECIMAL(18,4)) - 0.5 * avg(l_tax::DECIMAL(18,4)) AS net FROM lineitem GROUP BY 1, 2) SELECT a.dt, year(a.dt)::INT AS year, round(a.net - b.net, 9) + 0.0 AS increment FROM x a JOIN x b ON a.dt = b.dt WHERE a.side = 1 AND b.side = 0",
-)
+@query("paired_increment", f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')}, {reports_sql(10, 0.002, 'top')} SELECT p.dt, year(p.dt)::INT AS year, round((top.ret - top.cost) - (p.ret - p.cost), 9) + 0.0 AS increment FROM p JOIN top USING (dt)")
 def paired_increment(spark, d):
-    x = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("dt"), (F.col("l_linenumber") % 2).alias("side")).agg(F.avg("l_discount").alias("ret"), (0.5 * F.avg("l_tax")).alias("cost"))
-    return statistics.paired_increment(x.where("side = 1"), x.where("side = 0")).select("dt", "year", r("increment", 9))
+    """The ten best against the thirty best."""
+    return statistics.paired_increment(report(spark, d, 10), report(spark, d, 30)).select("dt", "year", r("increment", 9))
+
+
+@query("annual_increments", f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')}, {reports_sql(10, 0.002, 'top')}, i AS (SELECT year(p.dt)::INT AS year, (top.ret - top.cost) - (p.ret - p.cost) AS x FROM p JOIN top USING (dt)) SELECT year, round(avg(x) * 12, 6) + 0.0 AS increment, count(x) AS dates FROM i GROUP BY year UNION ALL SELECT NULL, round(avg(x) * 12, 6) + 0.0, count(x) FROM i")
+def annual_increments(spark, d):
+    return statistics.annual_increments(statistics.paired_increment(report(spark, d, 10), report(spark, d, 30)), 12).select("year", r("increment"), "dates")
+
+
+@query("double_fee_excess", f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')} SELECT round(avg(ret - cost - bench) * 12, 6) + 0.0 AS excess, round(avg(ret - 2 * cost - bench) * 12, 6) + 0.0 AS stressed FROM p")
+def double_fee_excess(spark, d):
+    return statistics.double_fee_excess(report(spark, d), 12).select(r("excess"), r("stressed"))
+
+
+@query("risk_analysis", f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')}, y AS (SELECT *, sum(ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS s FROM p), z AS (SELECT *, s - max(s) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS down FROM y) SELECT round(avg(ret), 9) + 0.0 AS mean, round(stddev_samp(ret), 9) + 0.0 AS std, round(avg(ret) * 12, 6) + 0.0 AS annual, round(avg(ret) / stddev_samp(ret) * sqrt(12), 6) + 0.0 AS ir, round(min(down), 6) + 0.0 AS drawdown FROM z")
+def risk_analysis(spark, d):
+    return evaluate.risk_analysis(report(spark, d), "ret", 12).select(r("mean", 9), r("std", 9), r("annual"), r("ir"), r("drawdown"))
+
+
+@query("off_schedule", f"WITH {SCORED}, {reports_sql(30, 0.002, 'p')}, s AS (SELECT dt FROM (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS n FROM cal) WHERE n % 3 = 0) SELECT dt, round(cost, 9) + 0.0 AS cost FROM p WHERE cost <> 0 AND dt NOT IN (SELECT dt FROM s)")
+def off_schedule(spark, d):
+    """A portfolio that trades on every date against a schedule of every third."""
+    return validate.off_schedule(report(spark, d), decide.rebalance_dates(panel.calendar(panel.bars(spark, d)), 3)).select("dt", r("cost", 9))
 
 
 @query(
@@ -285,8 +339,8 @@ def rebalance_dates(spark, d):
     return decide.rebalance_dates(panel.calendar(panel.bars(spark, d)), 3)
 
 
-@query("membership_validation", "WITH days AS (SELECT o_orderdate::DATE AS dt, count(*) AS n, count(DISTINCT o_custkey) AS codes FROM orders GROUP BY 1), cal AS (SELECT DISTINCT l_shipdate::DATE AS dt FROM lineitem), b AS (SELECT days.dt AS a, cal.dt AS c, n, codes FROM days FULL JOIN cal ON days.dt = cal.dt) SELECT unnest(['missing_date', 'date_off_calendar', 'duplicate_member', 'future_update']) AS rule, unnest([count(*) FILTER (a IS NULL), count(*) FILTER (c IS NULL), count(*) FILTER (n > codes), 0]) AS n FROM b")
+@query("membership_validation", "WITH days AS (SELECT o_orderdate::DATE AS dt, count(*) AS n, count(DISTINCT o_custkey) AS codes, bool_or(o_orderkey % 199 = 0) AS late FROM orders GROUP BY 1), cal AS (SELECT DISTINCT l_shipdate::DATE AS dt FROM lineitem), b AS (SELECT days.dt AS a, cal.dt AS c, n, codes, late FROM days FULL JOIN cal ON days.dt = cal.dt) SELECT unnest(['missing_date', 'date_off_calendar', 'duplicate_member', 'future_update']) AS rule, unnest([count(*) FILTER (a IS NULL), count(*) FILTER (c IS NULL), count(*) FILTER (n > codes), count(*) FILTER (late)]) AS n FROM b")
 def membership_validation(spark, d):
     day = F.to_date("o_orderdate")
-    snapshots = table(spark, d, "orders").select(day.alias("dt"), F.col("o_custkey").alias("code"), day.alias("updated"))
+    snapshots = table(spark, d, "orders").select(day.alias("dt"), F.col("o_custkey").alias("code"), F.date_add(day, F.when(F.col("o_orderkey") % 199 == 0, 3).otherwise(-1)).alias("updated"))
     return validate.membership_violations(snapshots, table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("dt")))

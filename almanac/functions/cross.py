@@ -32,8 +32,8 @@ def finite(x: Column) -> Column:
 
 
 def quotient(a: Column, b: Column) -> Column:
-    """a / b as floating-point numbers divide: infinite over 0, null for 0 / 0."""
-    return F.when(b != 0, a / b).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    """a / b as floating-point numbers divide: infinite over 0, null for 0 / 0 and where either is null."""
+    return F.when(b != 0, a / b).when((b == 0) & (a > 0), float("inf")).when((b == 0) & (a < 0), float("-inf"))
 
 
 def mean_rank(x: Column, *by) -> Column:

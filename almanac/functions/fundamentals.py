@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from almanac.functions.cross import past
+from almanac.functions.cross import full, past, ratio, trailing
 
 #: Industry codes and the first words of older labels that mean the financial sector, and the mark of an older label.
 FINANCIAL_CODES = ("J66", "J67", "J68", "J69")
@@ -23,6 +23,12 @@ def lagged_yield(x: Column) -> Column:
     return F.when(before > 0, 1 / before)
 
 
+def illiquidity(returns: str = "returns", amount: str = "amount", dates: int = 20) -> Column:
+    """log(1 + a million times the mean of |return| over amount) of the last dates, which must all have both; amounts of 0 are missing."""
+    move = ratio(F.abs(returns), F.when(F.col(amount) > 0, F.col(amount)))
+    return F.log1p(full(F.avg, move, dates, trailing(dates)) * 1e6)
+
+
 def close_to(a: Column, b: Column, relative: float = 2e-5, absolute: float = 2e-5) -> Column:
     """Whether a is within absolute + relative * |b| of b; not symmetric."""
     return F.abs(a - b) <= F.lit(absolute) + F.lit(relative) * F.abs(b)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.functions.cross import finite, mean_rank, past, pearson, ratio, standard
+from almanac.functions.cross import finite, mean_rank, past, pearson, percent_rank, ratio, standard
+
+#: Fixed value: scales a uniform rank to about unit deviation.
+NORMAL = 3.46
 
 
 def preprocess(panel: DataFrame, raw: str, mask: str, out: str = "score") -> DataFrame:
@@ -38,14 +41,57 @@ def daily_ic(df: DataFrame, score: str = "score", label: str = "label", by: tupl
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), pearson("x", "y", least).alias("ic"), pearson("rx", "ry", least).alias("rank_ic"))
 
 
-def summarize(daily: DataFrame, *by: str) -> DataFrame:
-    """Days, pairs, and of either correlation the mean, deviation, ratio and share above 0."""
-    out = [F.count("rank_ic").alias("days"), F.sum("n").alias("pairs")]
+def summarize(daily: DataFrame, *by: str, more: list | None = None) -> DataFrame:
+    """Days, pairs, and of either correlation the mean, deviation, ratio and share above 0; and more aggregates."""
+    out = [F.count("rank_ic").alias("days"), F.sum("n").alias("pairs"), *(more or [])]
     for c in ("ic", "rank_ic"):
         out += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.avg(F.when(F.col(c).isNotNull(), (F.col(c) > 0).cast("double"))).alias(f"{c}_positive")]
     return daily.groupBy(*by).agg(*out).withColumn("icir", ratio(F.col("ic_mean"), F.col("ic_std"))).withColumn("rank_icir", ratio(F.col("rank_ic_mean"), F.col("rank_ic_std")))
 
 
+def decay(df: DataFrame, horizons: tuple[int, ...] = (1, 2, 5, 10, 20), score: str = "score", least: int = 30) -> DataFrame:
+    """(h, summary..., last_usable): correlations with the labels of each horizon, and the last date that has one. One pass over the panel for all horizons."""
+    w = past()
+    wide = df.select("dt", F.col(score).alias("score"), *((ratio(F.lead("close", h + 1).over(w), F.lead("close", 1).over(w)) - 1).alias(str(h)) for h in horizons))
+    long = wide.unpivot(["dt", "score"], [str(h) for h in horizons], "h", "label").withColumn("h", F.col("h").cast("int"))
+    daily = daily_ic(long, by=("h", "dt"), least=least)
+    return summarize(daily, "h", more=[F.max(F.when(F.col("ic").isNotNull(), F.col("dt"))).alias("last_usable")])
+
+
+def correlations(df: DataFrame, names: list[str], least: int = 30) -> DataFrame:
+    """(a, b, rho, days): mean daily rank correlation of each pair a <= b of columns, over the rows that have both."""
+    from almanac.operators.statistics import pairwise_rank_correlation
+
+    return pairwise_rank_correlation(df, names, least)
+
+
+def normalized_label(label: str, day: str = "dt"):
+    """A label's rank within its date, centred and scaled to about unit deviation."""
+    return (percent_rank(F.col(label), day) - 0.5) * NORMAL
+
+
+def folds(calendar: DataFrame, years: list[int], start=None, end=None, reach: int = 2) -> DataFrame:
+    """(test_year, part, start_dt, end_dt, n): of each year training on all before the year before it, validation on that one, test on the year itself.
+
+    Training and validation lose their last `reach` dates of the calendar (dt, t), whose labels reach into the next part. Parts that are empty then do not come.
+    """
+    c = calendar.withColumn("test_year", F.explode(F.array(*map(F.lit, years))))
+    y, none = F.year("dt"), F.lit(True)
+    c = c.where((none if start is None else F.col("dt") >= F.lit(start).cast("date")) & (none if end is None else F.col("dt") <= F.lit(end).cast("date")))
+    c = c.withColumn("part", F.when(y < F.col("test_year") - 1, "train").when(y == F.col("test_year") - 1, "valid").when(y == F.col("test_year"), "test")).where("part is not null")
+    back = F.row_number().over(W.partitionBy("test_year", "part").orderBy(F.desc("t")))
+    return c.withColumn("_back", back).where((F.col("_back") > reach) | (F.col("part") == "test")).groupBy("test_year", "part").agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.count("*").alias("n"))
+
+
+def waterfall(df: DataFrame, masks: dict, *by) -> DataFrame:
+    """(by, cells, masks...): how many rows are left after each mask and all before it, one aggregation."""
+    left, out = F.lit(True), [F.count("*").alias("cells")]
+    for name, mask in masks.items():
+        left = left & F.coalesce(mask, F.lit(False))
+        out.append(F.count_if(left).alias(name))
+    return df.groupBy(*by).agg(*out)
+
+
 def quantile_spread(df: DataFrame, fraction: float = 0.2, least: int = 30) -> DataFrame:
     """(dt, n, k, top, bottom, long_short, top_labels, bottom_labels): mean labels of the best and worst k = ceil(n * fraction) of a date's n scores, ties by instrument.
 

@@ -1,4 +1,4 @@
-"""Event ledgers: quarantine, merging with conflicts, and activity spans. Revision chains are in almanac.ledger."""
+"""Event ledgers: quarantine, merging with conflicts, and activity spans. Revision chains are in almanac.operators.ledger."""
 
 from __future__ import annotations
 

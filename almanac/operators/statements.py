@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanac.functions.cross import ratio
+
 
 def with_prior(statements: DataFrame, key: str, period: str, columns: list[str], prior: Column, suffix: str = "_prior") -> DataFrame:
     """statements with the columns of the key's statement of another period: a self join by equality, null where there is none."""
@@ -41,6 +43,37 @@ def dependency_events(df: DataFrame, value: Column, current: list[Column], neede
     return x.select(*keys, F.col("_complete").alias("complete"), F.explode(rows).alias("_e")).select(*keys, "_e.published", "_e.value", "complete")
 
 
+#: Kinds of organisation whose margin is on total income.
+FINANCIAL_KINDS = ("银行", "证券", "保险")
+
+
+def reconstructed(income: DataFrame, balance: DataFrame, conservative: bool = True) -> DataFrame:
+    """(code, period, field, published, value, complete): return on equity and net margin from the statements themselves, as events.
+
+    income has (code, period, notice, updated, parent_profit, profit, income, total_income, kind), balance (code, period, notice, updated, equity),
+    one row per code and period. roe is the parent's profit over the mean of opening and closing equity and needs both balances; margin is profit over
+    income, over total income for financial kinds. A value over 0 is null. With `conservative` a value waits for the
+    last update of what it needs, and is null where an update's date is not known. Rows of a period with neither statement do not come.
+    """
+    i = income.select("code", "period", F.struct("notice", "updated", "parent_profit", "profit", "income", "total_income", "kind").alias("i"))
+    b = balance.select("code", "period", F.struct("notice", "updated", "equity").alias("b"))
+    x = i.join(b, ["code", "period"], "full_outer")
+    before = b.select(F.col("code").alias("_k"), F.col("period").alias("_p"), F.col("b").alias("o"))
+    x = x.join(before, (F.col("code") == F.col("_k")) & (opening("period") == F.col("_p")), "left").drop("_k", "_p")
+    roe = ratio(F.col("i.parent_profit"), (F.col("b.equity") + F.col("o.equity")) / 2)
+    margin = ratio(F.col("i.profit"), F.when(F.col("i.kind").isin(*FINANCIAL_KINDS), F.col("i.total_income")).otherwise(F.col("i.income")))
+    out = []
+    for name, value, current, needed in (("roe", roe, "bi", "bio"), ("margin", margin, "i", "i")):
+        notices, updates = [F.col(f"{n}.notice") for n in needed], [F.col(f"{n}.updated") for n in needed]
+        dates = notices
+        if conservative:
+            known = ~F.array_contains(F.array(*(u.isNull() for u in updates)), True)
+            value, dates = F.when(known, value), [F.when(known, F.greatest(n, u)).otherwise(n) for n, u in zip(notices, updates, strict=True)]
+        whole = [F.when(n.isNotNull(), d) for d, n in zip(dates, notices, strict=True)]
+        out.append(dependency_events(x.withColumn("field", F.lit(name)), value, [F.col(f"{n}.notice") for n in current], whole, ["code", "period", "field"]))
+    return out[0].unionByName(out[1]).select("code", "period", "field", "published", "value", "complete")
+
+
 def whole_history(requests: DataFrame, answers: DataFrame, by: list[str], on: list[str], first: str, second: str) -> DataFrame:
     """(by, source, planned, answered): a key takes its whole history from `first` only if every planned request has an answer there, else all of it from `second`."""
     hit = answers.select(*on, F.lit(1).alias("_hit")).distinct()
@@ -53,11 +86,21 @@ def missing_requests(requests: DataFrame, answers: DataFrame, on: list[str]) ->
     return requests.join(answers.select(*on).distinct(), on, "left_anti")
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the row of the highest `order`."""
+def latest(rows: DataFrame, key: str, order: str, kept: Column | None = None) -> DataFrame:
+    """Of each key the row of the highest `order`; with `kept`, only where that row has it: an older row never stands in for it."""
+    newest = _latest(rows, key, order)
+    return newest if kept is None else newest.where(kept)
+
+
+def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
+def first_by(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """The first k rows of each key by `order`, which tells rows apart."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("_n") <= k).drop("_n")
+
+
 def modal_period(rows: DataFrame, by: str, period: str) -> DataFrame:
     """(by, period, n, off_modal): the most frequent period, the newest of equally frequent ones, and the share of rows in others."""
     c = rows.where(F.col(period).isNotNull()).groupBy(by, period).agg(F.count("*").alias("_n"))

@@ -64,3 +64,22 @@ def eligible(panel: DataFrame, limit: float = 0.095) -> DataFrame:
     """exec_ok: traded, and the change is within the limit in both directions, compared as 32-bit numbers."""
     change, edge = F.col("returns").cast("float"), F.lit(limit).cast("float")
     return panel.withColumn("exec_ok", F.col("close").isNotNull() & (F.col("close") > 0) & F.coalesce(~((change >= edge) | (change <= -edge)), F.lit(True)))
+
+
+def yearly_unions(panel: DataFrame) -> DataFrame:
+    """(year, members, stayed, left_next_year): instruments that were members at any time of a year, and of these the ones that were at any time of the next."""
+    ever_ = panel.where("is_member").select("inst", F.year("dt").alias("year")).distinct()
+    next_ = ever_.select(F.col("inst").alias("_i"), (F.col("year") - 1).alias("_y"))
+    both = ever_.join(next_, (F.col("inst") == F.col("_i")) & (F.col("year") == F.col("_y")), "left")
+    return both.groupBy("year").agg(F.count("*").alias("members"), F.count("_i").alias("stayed"), (F.count("*") - F.count("_i")).alias("left_next_year"))
+
+
+def changes(panel: DataFrame) -> DataFrame:
+    """(dt, entered, left): members that were none on the calendar date before, and the reverse."""
+    was = F.coalesce(F.lag("is_member").over(past()), F.lit(False))
+    return panel.withColumn("_was", was).groupBy("dt").agg(F.count_if(F.col("is_member") & ~F.col("_was")).alias("entered"), F.count_if(F.col("_was") & ~F.col("is_member")).alias("left"))
+
+
+def ever(panel: DataFrame, mask) -> DataFrame:
+    """(inst): instruments for which a mask holds on any date."""
+    return panel.groupBy("inst").agg(F.bool_or(mask).alias("_ever")).where("_ever").select("inst")

@@ -57,23 +57,26 @@ class Precedence(StatefulProcessor):
                 yield pd.DataFrame({"key": [key[0]], "pub": [pub], "stat": [stat], "value": pd.Series([value], dtype="float64"), "from_day": [pub + 1], "to_day": [until]}).astype({c: "int32" for c in ("pub", "stat", "from_day", "to_day")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
-        if self.pending.containsKey((day,)):
+        # Every day up to this one has come whole. The first timer of a key does the work of all that the watermark has passed.
+        passed = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1
+        took = False
+        for day in sorted(d for (d,) in list(self.pending.keys()) if d <= passed):
             stat, _, value = self.pending.getValue((day,))
             self.pending.removeKey((day,))
-            newest = self.newest.get()[0] if self.newest.exists() else None
-            if newest is None or stat >= newest:
-                if self.current.exists():
-                    pub, before, _ = self.current.get()
-                    yield from self.leave(key, min(day, self.ends(pub, before)))
-                self.newest.update((stat,))
-                self.current.update((day, stat, value))
-                # Days up to the end are counted; the timer stands a day behind it, but never at a date that is judged already.
-                self.handle.registerTimer(max(self.ends(day, stat), day) * DAY_MS + DAY_MS + 1)
+            if self.newest.exists() and stat < self.newest.get()[0]:
+                continue
+            if self.current.exists():
+                pub, before, _ = self.current.get()
+                yield from self.leave(key, min(day, self.ends(pub, before)))
+            self.newest.update((stat,))
+            self.current.update((day, stat, value))
+            took = True
         if self.current.exists():
             pub, stat, _ = self.current.get()
-            if self.ends(pub, stat) <= day:
+            if self.ends(pub, stat) <= passed:
                 yield from self.leave(key, self.ends(pub, stat))
+            elif took:
+                self.handle.registerTimer((self.ends(pub, stat) + 1) * DAY_MS)
 
     def close(self) -> None:
         pass
