@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +93,18 @@ def strict_json(value) -> str:
     return json.dumps(clean(value), ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
 
 
+def write_json(value, path: str) -> None:
+    """strict_json in a file of the driver's, put in place whole: a reader sees the old file or the new one."""
+    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(strict_json(value) + "\n")
+        os.replace(temporary, path)
+    except BaseException:
+        os.remove(temporary)
+        raise
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as one line of JSON: nulls are written, NaN and infinities become null."""
     tidy = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]

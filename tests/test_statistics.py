@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import ledger, statements, statistics, validate
+from almanac.functions import dsl
+from almanac.operators import evaluate, ledger, statements, statistics, validate
 from almanac.sources import files
 
 
@@ -42,11 +43,62 @@ def test_residual_is_orthogonal(spark):
         assert day.groupby("industry").residual.mean().abs().max() < 1e-9 and abs(day.residual.std(ddof=0) - 1) < 1e-9
 
 
-def test_bootstrap(spark):
-    good = statistics.block_bootstrap([0.1 + 0.01 * (i % 3) for i in range(200)])
-    assert good["low"] <= good["mean"] <= good["high"] and good["p"] < 0.01
-    assert good == statistics.block_bootstrap([0.1 + 0.01 * (i % 3) for i in range(200)])
-    assert statistics.block_bootstrap([1.0] * 10) == {"mean": None, "low": None, "high": None, "p": 1.0}
+def series(spark, values, name="a"):
+    return spark.createDataFrame([(name, i, v) for i, v in enumerate(values)], "g string, dt int, x double")
+
+
+def test_bootstrap_with_numpys_draws(spark):
+    """With starts that numpy drew, the same figures as resampling in numpy; holes keep their places."""
+    values = [0.1 + 0.01 * (i % 7) - (0.3 if i % 11 == 0 else 0) for i in range(103)]
+    values[5] = values[60] = None
+    n, block, samples = len(values), 20, 300
+    drawn = np.random.default_rng(42).integers(0, n, (samples, -(-n // block)))
+    starts = spark.createDataFrame([(n, s, p + 1, int(at)) for s, row in enumerate(drawn) for p, at in enumerate(row)], "n long, sample int, piece int, start long")
+    x = np.array([np.nan if v is None else v for v in values])
+    means = np.array([np.nanmean(np.concatenate([x[(at + np.arange(block)) % n] for at in row])[:n]) for row in drawn])
+    got = statistics.bootstrap(series(spark, values), "x", ["g"], block=block, starts=starts).first()
+    mean = np.nanmean(x)
+    assert got.mean == pytest.approx(mean) and (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert got.p == pytest.approx((1 + (means - mean >= mean).sum()) / (samples + 1))
+
+
+def test_bootstrap_of_short_groups(spark):
+    df = series(spark, [0.5] * 50).union(series(spark, [1.0] * 30, "short")).union(series(spark, [None] * 60, "empty"))
+    got = {r.g: r for r in statistics.bootstrap(df, "x", ["g"], samples=50).collect()}
+    assert (got["a"].mean, got["a"].low, got["a"].high, got["a"].p) == (0.5, 0.5, 0.5, 1 / 51)
+    assert [(got[g].mean, got[g].low, got[g].p) for g in ("short", "empty")] == [(None, None, 1.0)] * 2
+
+
+def test_residuals_equal_least_squares(spark):
+    """Against numpy with all columns, on two dates; a basis column that does not vary, a small industry, holes."""
+    r = np.random.default_rng(4)
+    rows = []
+    for day in (1, 2):
+        for i in range(90):
+            a, b, size = r.normal(), r.normal() * 1e3, r.normal() + 20
+            y = 2 * a - 0.001 * b + size + r.normal() * 0.1
+            rows.append((day, i, f"g{i % 4}" if i > 2 else "tiny", y, a, b, 7.0, size))
+    rows[10] = (*rows[10][:4], None, *rows[10][5:])
+    rows[11] = (*rows[11][:3], float("nan"), *rows[11][4:])
+    df = spark.createDataFrame(rows, "dt int, inst int, industry string, y double, a double, b double, flat double, size double")
+    got = {(x.dt, x.inst): x.residual for x in statistics.conditional_residual(df, "y", ["a", "b", "flat"], "size", "industry").collect()}
+    for day in (1, 2):
+        mine = [x for x in rows if x[0] == day and x[2] != "tiny" and x[4] is not None and x[3] == x[3]]
+        x = np.column_stack([[x[k] for x in mine] for k in (4, 5, 7)] + [[float(x[2] == f"g{g}") for x in mine] for g in range(4)])
+        y = np.array([x[3] for x in mine])
+        e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert [got[day, m[1]] for m in mine] == pytest.approx((e / e.std()).tolist(), abs=1e-9)
+    checks = statistics.conditional_checks(df, "y", ["a", "b", "flat"], "size", "industry").collect()
+    assert len(got) == sum(c.n for c in checks) and all(c.columns == 7 and c.orthogonality_error < 1e-9 and c.explained > 0.9 for c in checks)
+    assert statistics.conditional_residual(df, "y", ["a"], "flat", "industry").count() == 0
+
+
+def test_one_nan_spoils_one_row_only(spark):
+    r = np.random.default_rng(5)
+    rows = [(1, i, float("nan") if i == 3 else r.normal(), r.normal(), i % 4) for i in range(60)]
+    got = evaluate.neutralize(spark.createDataFrame(rows, "dt int, inst int, y double, z double, g int"), "y", "z", "g").collect()
+    assert len(got) == 59 and all(x.neutral == x.neutral and x.neutral is not None for x in got)
+    assert statistics.orthogonality(spark.createDataFrame(got), "neutral", ["z"], "g").first().orthogonality_error < 1e-9
 
 
 def test_clusters():
@@ -103,4 +155,31 @@ def test_files(spark, tmp_path):
     (tmp_path / "p" / "b.json").write_text("{}")
     assert [tuple(r) for r in files.seal_violations(spark, str(tmp_path / "p"), manifest, "*.json").collect()] == [("b.json", "changed")]
     assert files.strict_json({"x": float("nan")}) == '{\n  "x": null\n}'
-    assert files.translate("alphaforge", "ts_mean($close, 5)") == "Mean(close, 5)"
+    files.write_json({"x": [1, float("inf")]}, str(tmp_path / "out.json"))
+    with pytest.raises(TypeError):
+        files.write_json({"x": object()}, str(tmp_path / "out.json"))
+    assert (tmp_path / "out.json").read_text() == '{\n  "x": [\n    1,\n    null\n  ]\n}\n' and sorted(p.name for p in tmp_path.iterdir()) == ["out.json", "p"]
+
+
+@pytest.mark.parametrize(
+    ("dialect", "text", "want"),
+    [
+        ("alphaforge", "ts_mean($close, 5)", "Mean(close, 5)"), ("alphasage", "TsMean(Div($close, $open), 5)", "Mean(Div(close, open), 5)"), ("alphaforge", "Inv((-0.01*vwap))", "Div(1, Mul(-(0.01), vwap))"),
+        ("alphaforge", "(2.0-((vwap--10.0)-30.0))", "Sub(2.0, Sub(Sub(vwap, -(10.0)), 30.0))"), ("alphasage", "Abs($low) + Ref($high, 0)", "Add(Abs(low), Ref(high, 0))"),
+    ],
+)
+def test_translation(dialect, text, want):
+    assert files.translate(dialect, text) == want
+    assert dsl.render(dsl.parse(want)) == want
+
+
+@pytest.mark.parametrize(
+    ("dialect", "text"),
+    [
+        ("alphasage", "Rank($close)"), ("alphasage", "TsRank($close,20)"), ("alphaforge", "CSRank($close)"), ("alphaforge", "Ref($close,-1)"), ("alphasage", "$unknown"), ("alphasage", "Div(1,Log($close))"), ("alphaforge", "ts_delta(close,0)"), ("alphasage", "Abs(-1)"),
+        ("alphasage", '__import__("os").system("echo bad")'), ("alphasage", "ts_mean($close, 5)"), ("alphaforge", "ts_mean(3, 5) + close"), ("alphaforge", "turnover"), ("alphaforge", "Inv(close, open)"), ("other", "close"), ("alphaforge", ""), ("alphaforge", "close**2"), ("alphaforge", "Pow(close, 2)"),
+    ],
+)
+def test_translation_refuses(dialect, text):
+    with pytest.raises(ValueError):
+        files.translate(dialect, text)
