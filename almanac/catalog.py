@@ -99,7 +99,7 @@ def membership_intervals(spark, d):
 @query("membership_expand", f"WITH {MARKET} SELECT dt, inst FROM market WHERE is_member")
 def membership_expand(spark, d):
     m = panel.market(spark, d)
-    return panel.expand(panel.intervals(m), panel.calendar(m))
+    return panel.expand(panel.intervals(m), panel.calendar(table(spark, d, "lineitem").select(F.trunc("l_shipdate", "month").alias("dt"))))
 
 
 @query(
@@ -291,7 +291,9 @@ def _events(spark, d) -> DataFrame:
 
 def _signals(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select(F.col("o_custkey").alias("code")).distinct().crossJoin(F.broadcast(o.select(F.trunc("o_orderdate", "month").alias("dt")).distinct()))
+    # The calendar is one array, a few dates a year.
+    days = o.select(F.trunc("o_orderdate", "month").alias("dt")).distinct().agg(F.sort_array(F.collect_list("dt"))).scalar()
+    return o.select(F.col("o_custkey").alias("code")).distinct().select("code", F.explode(days).alias("dt"))
 
 
 @query("asof_events_strict", f"WITH {_EVENTS} SELECT s.dt, s.code, CASE WHEN s.dt - e.pub <= 400 THEN e.pub END AS pub, CASE WHEN s.dt - e.pub <= 400 THEN e.x END AS x FROM sig s ASOF LEFT JOIN e2 e ON s.code = e.code AND s.dt > e.pub")

@@ -53,22 +53,23 @@ def current_periods(events: DataFrame, key: str, published: str, period: str, or
     """Events that are not behind: of each publication date the newest period, and none older than one published before.
 
     Without `order`, two events of one publication date and period, or a period after its publication, are refused
-    when the rows are read; with it the highest `order` counts and nothing is refused.
+    when the rows are read; with it the highest `order` counts and nothing is refused. Events without a key or publication date
+    are never known and do not come.
     """
     if order is None:
         n = F.count("*").over(W.partitionBy(key, published, period))
         bad = (n > 1) | (F.col(period) > F.col(published))
         events = events.withColumn("_ok", F.when(bad, F.raise_error(F.lit("ambiguous or impossible fiscal period"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
         order = period
-    day = W.partitionBy(key, published).orderBy(F.desc(period), F.desc(order))
-    one = events.withColumn("_n", F.row_number().over(day)).where("_n = 1").drop("_n").withColumn("_c", cell(F.col(published), width))
-    # The newest period so far: of the slices before by a window over slices, of the slice itself by one within it.
-    newest = events.groupBy(key, cell(F.col(published), width).alias("_c")).agg(F.max(period).alias("_m"))
-    ahead = W.partitionBy(key).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    newest = newest.select(F.col(key).alias("_k"), F.col("_c").alias("_kc"), F.max("_m").over(ahead).alias("_m"))
-    inside = W.partitionBy(key, "_c").orderBy(published).rowsBetween(W.unboundedPreceding, 0)
-    out = one.withColumn("_i", F.max(period).over(inside)).join(newest, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_kc")))
-    return out.where(F.col(period) >= F.greatest("_i", "_m")).drop("_c", "_k", "_kc", "_i", "_m")
+    # The newest period of the slices before heads each slice, so one window within slices does the rest.
+    kind = lambda c: events.schema[c].dataType
+    rows = events.where(F.col(key).isNotNull() & F.col(published).isNotNull()).select(F.col(key).alias("_k"), cell(F.col(published), width).alias("_c"), F.col(published).alias("_p"), F.col(period).alias("_q"), F.col(order).alias("_r"), F.struct(*events.columns).alias("_e"))
+    ahead = W.partitionBy("_k").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    heads = rows.groupBy("_k", "_c").agg(F.max("_q").alias("_q")).select("_k", "_c", F.lit(None).cast(kind(published)).alias("_p"), F.max("_q").over(ahead).alias("_q"), F.lit(None).cast(kind(order)).alias("_r"), F.lit(None).cast(rows.schema["_e"].dataType).alias("_e"))
+    w = W.partitionBy("_k", "_c").orderBy("_p", F.desc("_q"), F.desc("_r"))
+    newest = F.max("_q").over(w.rowsBetween(W.unboundedPreceding, 0))
+    out = rows.unionByName(heads.where("_q is not null")).withColumn("_first", ~F.lag("_p").over(w).eqNullSafe(F.col("_p"))).withColumn("_m", newest)
+    return out.where("_e is not null and _first and _q >= _m").select("_e.*")
 
 
 def next_date(events: DataFrame, dates: DataFrame, at: str) -> DataFrame:

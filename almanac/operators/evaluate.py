@@ -146,12 +146,14 @@ def holdings_report(df: DataFrame, k: int, fee: float) -> DataFrame:
 
     turnover is the part of the weight that changes hands from date to date, cost the fee on it; the first date buys everything.
     """
-    held = top_k(df, k).withColumn("weight", 1 / F.count("*").over(W.partitionBy("dt")))
-    w = past()
-    x = df.join(held.select("dt", "inst", "weight"), ["dt", "inst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    w, date = past(), W.partitionBy("dt")
+    x = df.select("dt", "t", "inst", "returns", F.lag("score").over(w).alias("_s"))
+    place = F.row_number().over(date.orderBy(F.desc_nulls_last("_s"), "inst"))
+    x = x.withColumn("_held", F.col("_s").isNotNull() & (place <= k))
+    x = x.withColumn("weight", F.when(F.col("_held"), 1 / F.count_if("_held").over(date)).otherwise(F.lit(0.0)))
     x = x.withColumn("_moved", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0))))
-    daily = x.groupBy("dt").agg(F.avg(F.when(F.col("weight") > 0, F.col("returns"))).alias("ret"), F.avg("returns").alias("bench"), (F.sum("_moved") / 2).alias("turnover"), F.sum("weight").alias("_held"))
-    first = F.min(F.when(F.col("_held") > 0, F.col("dt"))).over(W.partitionBy(F.lit(1)))
+    daily = x.groupBy("dt").agg(F.avg(F.when(F.col("weight") > 0, F.col("returns"))).alias("ret"), F.avg("returns").alias("bench"), (F.sum("_moved") / 2).alias("turnover"), F.sum("weight").alias("_all"))
+    first = F.min(F.when(F.col("_all") > 0, F.col("dt"))).over(W.partitionBy(F.lit(1)))
     daily = daily.withColumn("turnover", F.when(F.col("dt") == first, 2 * F.col("turnover")).otherwise(F.col("turnover")))
     return daily.where("ret is not null and bench is not null").select("dt", "ret", "bench", "turnover", (fee * F.col("turnover")).alias("cost"))
 
