@@ -295,11 +295,11 @@ def test_main_text(spark):
 def test_messages_equal_enumeration():
     model = html_text.train(html_text.labelled_pages(60))
     nodes, _ = html_text.parse("<body><div class='content'><p>Some text, here.</p><div class=ad>buy</div></div><footer>c</footer></body>")
-    own = 1 / (1 + np.exp(-np.clip(html_text.features(nodes) @ model.weights, -12, 12)))
+    own = html_text.features(nodes) @ model.weights
     total, on = 0.0, np.zeros(len(nodes))
     for bits in range(2 ** len(nodes)):
         y = [bits >> i & 1 for i in range(len(nodes))]
-        p = math.prod(own[i] if y[i] else 1 - own[i] for i in range(len(nodes))) * math.prod(model.edges[html_text.edge_kind(n), y[n.above], y[i]] for i, n in enumerate(nodes) if i)
+        p = math.exp(sum(own[i] * y[i] for i in range(len(nodes))) + sum(model.edges[html_text.edge_kind(n), y[n.above], y[i]] for i, n in enumerate(nodes) if i))
         total += p
         on += p * np.array(y)
     assert np.allclose(model.marginals(nodes), on / total, atol=1e-6)
