@@ -45,17 +45,28 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("free"), share).otherwise(F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each row of docs; with carry also that row, as a struct `_row`.
+def random_key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def range_of(ranges: Column) -> Column:
+    """The range of a key: its first 32 bits, scaled, so ranges are in the order of keys."""
+    return F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32))
+
+
+def epochs_of(budget: Column) -> Column:
+    return F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each row of docs.
 
     taken counts words, repeats included; one row of a source may be taken in part, at the cut.
     Null texts have size 0 and take nothing; a null source is a source. Rows that share an id
     follow each other by size; a source without words has target 0.
     """
-    row = [F.struct(*docs.columns).alias("_row")] if carry else []
-    rows = docs.select("doc_id", "source", n_words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"), *row)
-    ranges = F.lit(max(64, docs.count() // RANGE_ROWS))
-    rows = rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)))
+    rows = docs.select("doc_id", "source", n_words().alias("size"), random_key(seed).alias("key"))
+    rows = rows.withColumn("part", range_of(F.lit(max(64, docs.count() // RANGE_ROWS))))
     # Not map-side only: sizes by source and range are few, whatever the source.
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -67,26 +78,52 @@ def mix(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
     rows = rows.withColumn("in_part", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    epochs = epochs_of(budget)
     rest = budget - epochs * F.col("source_size")
     once = F.greatest(F.lit(0), F.least("size", rest - F.col("part_before") - F.col("in_part")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), *(["_row"] if carry else []))
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"))
+
+
+def cuts(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """(of, epochs, cut, left, ties), a row for each source: whole epochs, and where the last one ends.
+
+    Rows before `cut`, a struct (key, size, same) that rows are compared with, are taken once more. The rows equal to it, `ties` of them, share `left`
+    words. Sources whose budget is whole epochs have no cut. Texts are read, not shuffled: sizes and keys are.
+    """
+    rows = docs.select("source", n_words().alias("size"), random_key(seed).alias("key"), F.xxhash64("text").alias("same")).where("size > 0")
+    rows = rows.withColumn("part", range_of(F.lit(max(64, docs.count() // RANGE_ROWS))))
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("part_before", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
+    budget = F.floor("target")
+    goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))).select(F.col("source").alias("of"), epochs_of(budget).alias("epochs"), (budget - epochs_of(budget) * F.col("source_size")).alias("rest"))
+    # Of each source only the range in which the budget ends is put in order.
+    ends = parts.join(goal, F.col("source").eqNullSafe(F.col("of"))).where("rest > 0 and part_before <= rest and rest < part_before + part_size").select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("rest") - F.col("part_before")).alias("here"))
+    near = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).groupBy("s", "here", F.struct("key", "size", "same").alias("cut")).agg(F.count("*").alias("ties"))
+    words = F.col("ties") * F.col("cut.size")
+    within = W.partitionBy("s").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum(words).over(within), F.lit(0))).where((F.col("before") <= F.col("here")) & (F.col("here") < F.col("before") + words))
+    return goal.join(near.select("s", "cut", (F.col("here") - F.col("before")).alias("left"), "ties"), F.col("of").eqNullSafe(F.col("s")), "left").select("of", "epochs", "cut", "left", "ties")
 
 
 def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """docs as the mix takes it: every row once per full pass over it, and a last time cut to the words that are left to take.
 
     Rows that the mix takes nothing of are not in it. Cut rows have the words taken, joined by
-    single spaces, and n_chars to match where docs has it.
+    single spaces, and n_chars to match where docs has it. Rows equal in id, source and text at the cut share its words evenly.
+    A row's share follows from its own key and its source's cut, so texts stay where they are read.
     """
-    out = mix(docs, seed, carry=True).where("taken > 0")
-    turns = F.concat(F.array_repeat(F.lit(0).cast("long"), F.expr("cast(taken div size AS int)")), F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>")))
-    out = out.select("_row", F.explode(turns).alias("_words"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") > 0, cut).otherwise(F.col("_row.text"))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), n_words().alias("_size"), random_key(seed).alias("_key"), F.xxhash64("text").alias("_same")).where("_size > 0")
+    out = row.join(cuts(docs, seed), F.col("_source").eqNullSafe(F.col("of")))
+    here = F.struct(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_same").alias("same"))
+    once = F.when(F.col("cut").isNull(), F.lit(0)).when(here < F.col("cut"), F.col("_size")).when(here == F.col("cut"), F.floor(F.col("left") / F.col("ties"))).otherwise(F.lit(0)).cast("long")
+    turns = F.concat(F.array_repeat(F.col("_size"), F.col("epochs").cast("int")), F.when(once > 0, F.array(once)).otherwise(F.array().cast("array<bigint>")))
+    out = out.select("_row", "_size", F.explode(turns).alias("_words")).withColumn("_cut", F.col("_words") < F.col("_size"))
+    short = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_cut"), short).otherwise(F.col("_row.text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_words") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        new["n_chars"] = F.when(F.col("_cut"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
     return out.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 

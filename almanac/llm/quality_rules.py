@@ -136,18 +136,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: f
     return learn(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0, precision) if len(rows) else []
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
-    """docs with a struct column `_quality`: the statistics, base_failed and kept.
+def free(names: list[str], name: str) -> str:
+    """The name, behind as many underscores as no column has."""
+    while name in names:
+        name = f"_{name}"
+    return name
+
+
+def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: float = 0.9, out: str = "_quality") -> DataFrame:
+    """docs with a struct column `out`: the statistics, base_failed and kept. A column of that name is refused; all others stay.
 
     A null or empty text has no words and fails the base; without labelled rows there are no
     rules and what passes the base is kept. Repeated rows are judged each on its own text.
     """
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out}")
     tune(docs.sparkSession)
     rules = fit(docs, labels, max_rows, precision)
-    s = lambda name: F.col(f"_s.{name}")
+    name = free([*docs.columns, out], "_s")
+    s = lambda field: F.col(f"{name}.{field}")
     failed = (s("n_words") < 50) | (100 * s("n_repeat_words") > 50 * s("n_words"))
     kept = F.when(failed, False).otherwise(expression(rules, s))
-    return docs.withColumn("_s", text_stats("text")).withColumn("_quality", F.struct("_s.*", failed.alias("base_failed"), kept.alias("kept"))).drop("_s")
+    return docs.withColumn(name, text_stats("text")).withColumn(out, F.struct(f"{name}.*", failed.alias("base_failed"), kept.alias("kept"))).drop(name)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that neither the base nor the rules reject, with docs' columns."""
+    out = free(docs.columns, "_quality")
+    return judge(docs, labels, out=out).where(F.col(f"{out}.kept")).drop(out)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
