@@ -25,9 +25,10 @@ LEAST = 30
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with the momentum score and the two-date label."""
     p = dsl.evaluate(panel.eligible(panel.market(spark, sf_dir)), {"mom": "close / Ref(close, 3) - 1"})
-    p = evaluate.preprocess(p.withColumn("_all", F.lit(True)), "mom", "_all")
+    # The label before the cross-section: one shuffle by instrument serves both, and one by date what follows.
     w = past()
-    return p.withColumn("label", ratio(F.lead("close", 3).over(w), F.lead("close", 1).over(w)) - 1)
+    p = p.withColumn("label", ratio(F.lead("close", 3).over(w), F.lead("close", 1).over(w)) - 1)
+    return evaluate.preprocess(p.withColumn("_all", F.lit(True)), "mom", "_all")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

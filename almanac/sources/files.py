@@ -49,7 +49,7 @@ def expressions(spark: SparkSession, path: str) -> DataFrame:
         if "exprs" not in raw.columns:
             raise ValueError("an export has a column exprs")
         rows = raw.select(F.col("exprs").alias("expression"))
-    n, empty = rows.agg(F.count("*"), F.count_if("expression is null")).first()
+    n, empty = rows.agg(F.count("*"), F.count_if(F.col("expression").isNull())).first()
     if empty or not 0 < n <= MOST_EXPRESSIONS:
         raise ValueError("an export has 1 to 10,000 expressions, none of them missing")
     return rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almanac.functions import dsl
 from almanac.operators import asof, evaluate, events
 from almanac.plans import panel
+from almanac.sources import files
 
 DAY = dt.date(2020, 1, 1)
 
@@ -110,3 +111,22 @@ def test_quarantine_and_conflicts(spark):
     assert got == {("a", "1.5"): None, ("a", "2"): "invalid_date", ("b", "bad"): "malformed_number", ("c", ""): None, (None, "inf"): "malformed_number"}
     same = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 1, 12), ("b", 2, 13)], "k string, v int, id long")
     assert sorted((r.k, r.v, r.ids, r.status) for r in events.merge_same_day(same, ["k"], "v", "id").collect()) == [("a", 1, [10, 11], "VALID"), ("b", 1, [12], "CONFLICT"), ("b", 2, [13], "CONFLICT")]
+
+
+def test_expression_exports(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('exprs,score\n"Mean($close, 5)",1\nclose,2\n')
+    (tmp_path / "b.json").write_text('{"exprs": ["close", "open"]}')
+    (tmp_path / "c.csv").write_text("other\nclose\n")
+    (tmp_path / "d.json").write_text('{"exprs": []}')
+    assert [r[0] for r in files.expressions(spark, str(tmp_path / "a.csv")).collect()] == ["Mean($close, 5)", "close"]
+    assert [r[0] for r in files.expressions(spark, str(tmp_path / "b.json")).collect()] == ["close", "open"]
+    for name in ("c.csv", "d.json"):
+        with pytest.raises(ValueError):
+            files.expressions(spark, str(tmp_path / name))
+
+
+def test_infinities_end_as_null_and_are_carried_before(spark):
+    rows = [("a", None, t, c, o) for t, (c, o) in enumerate([(2.0, 0.0), (3.0, 1.5), (0.0, 0.0), (4.0, None)], 1)]
+    df = spark.createDataFrame(rows, "inst string, dt date, t int, close double, open double")
+    got = dsl.evaluate(df, {"q": "close / open", "back": "1 / (close / open)", "mean": "Mean(close / open, 2)"}).orderBy("t").collect()
+    assert [r.q for r in got] == [None, 2.0, None, None] and [r.back for r in got] == [0.0, 0.5, None, None] and [r.mean for r in got] == [None] * 4
