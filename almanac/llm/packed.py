@@ -10,6 +10,7 @@ value that a third of all rows have is one record a group then.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """The intermediate tables of one operator. Within `with scratch(spark)`, settle and by_group note what they write; it goes at the end, also after an error."""
+    """The intermediate tables of one operator, deleted through the session's own file systems (a classic session's). Within `with scratch(spark)`, settle and by_group note what they write; it goes at the end, also after an error."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
@@ -49,7 +50,15 @@ class Scratch:
         self.paths, self.tables = [], []
 
 
-_open: list[Scratch] = []
+class _Open(threading.local):
+    """The scratches of this thread that are open, the innermost last."""
+
+    def __init__(self):
+        self.all: list[Scratch] = []
+
+
+_open = _Open()
+_sweeping, _lock = 0, threading.Lock()
 
 #: Spark's setting that deletes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -57,25 +66,36 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def swept(spark: SparkSession):
-    """Within it, each write deletes its shuffle files when it ends: what is settled needs them no more."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Within it, each write deletes its shuffle files when it ends: what is settled needs them no more.
+
+    The setting is the session's: a plan that others keep and run again meanwhile makes its shuffle files anew. Operators
+    in several threads share it, and the last to end takes it back.
+    """
+    global _sweeping
+    with _lock:
+        if not _sweeping:
+            swept.before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _sweeping += 1
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            _sweeping -= 1
+            if not _sweeping:
+                spark.conf.set(CLEANUP, swept.before)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """An operator's own scratch. What it returns must be kept by `kept`, which writes outside it."""
     mine = Scratch(spark)
-    _open.append(mine)
+    _open.all.append(mine)
     try:
         with swept(spark):
             yield mine
     finally:
-        _open.remove(mine)
+        _open.all.remove(mine)
         mine.clear()
 
 
@@ -87,8 +107,8 @@ def written(df: DataFrame, at: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].paths.append(at)
+    if _open.all:
+        _open.all[-1].paths.append(at)
     return written(df, at)
 
 
@@ -111,9 +131,9 @@ def by_group(df: DataFrame, groups: int, key: str = "g") -> DataFrame:
     spark = df.sparkSession
     name = f"grouped_{uuid.uuid4().hex}"
     at = f"{shared_dir(spark)}/{name}"
-    if _open:
-        _open[-1].paths.append(at)
-        _open[-1].tables.append(name)
+    if _open.all:
+        _open.all[-1].paths.append(at)
+        _open.all[-1].tables.append(name)
     (
         df.repartition(groups, key)
         .write.bucketBy(groups, key)
