@@ -1,12 +1,15 @@
 """Clashing names, nulls, ties, repeated rows and empty tables in the operators that give documents back, and in the pipeline."""
 
+import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from almanac.llm import chaining, mixing, quality_rules
+from almanac.llm import chaining, mixing, quality_rules, webp
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +95,46 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
                 assert offset == end
                 end += n
             assert end <= 4096
+
+
+def counted(text):
+    """The contract's numbers in plain Python."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines, dup, seen = (text or "").split("\n"), 0, set()
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)}
+    n = len(words)
+    return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(again), n < 50 or 100 * len(again) > 50 * n
+
+
+def test_quality_statistics_against_brute_force(spark):
+    r = random.Random(4)
+    texts = [None, "", " \t\n", "one", "a b c a b c", "a a a a", "same line\nsame line\n same line\nsame line", "x # * $ % & | < > y" * 9, "é ß 漢字 \x85 \xa0 x y z" * 20, "word " * 60, prose(r, 200), " ".join(prose(r, 20) for _ in range(4)) + "\n", "a\rb\x0bc\x0cd" * 30]
+    texts += ["\n".join(r.choice(["p q r", "s", "", "  ", "t u v w"]) for _ in range(60)) for _ in range(5)] + [prose(r, 60) + " " + " ".join(["k l m"] * n) for n in (5, 15, 25)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality_rules.judge(df, spark.createDataFrame([], "doc_id long, quality int")).select("doc_id", "_quality.*").collect()
+    assert len(got) == len(texts)
+    for x in got:
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == counted(texts[x.doc_id])
+        assert x.kept == (not x.base_failed)
+
+
+def test_media_columns_of_the_fixture(spark):
+    """Every column from the stored bytes as they are, and equal texts give equal rows; an empty table and a very long text."""
+    texts = ["abc", "abc", None, "", "é" * 100_000, "line\n" * 50_000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, m int")
+    got = {x.doc_id: x for x in df.select("doc_id", webp.media_digest("text").alias("m")).select("doc_id", "m.*").collect()}
+    for i, t in enumerate(texts):
+        payload = webp.padded((t or "").encode())
+        media = webp.store(payload)
+        samples = np.frombuffer(payload, np.uint8)
+        share = np.unique(samples, return_counts=True)[1] / len(samples)
+        x = got[i]
+        assert (x.n_bytes, x.payload_bytes, x.media_bytes, x.media_sha256) == (len((t or "").encode()), len(payload), len(media), hashlib.sha256(media).hexdigest())
+        assert x.feature == f"mean={samples.mean():.4f};std={samples.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};levels={len(share)};rows={len(payload) // 192}"
+        assert media[:4] == b"RIFF" and media[8:16] == b"WEBPVP8L"
+    assert df.limit(0).select(webp.media_digest("text")).collect() == []
