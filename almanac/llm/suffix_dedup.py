@@ -16,7 +16,6 @@ Adjacent equal strings form the classes of that order, whose earliest document k
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
