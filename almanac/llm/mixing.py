@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanac.llm.packed import checkpointed
+
 #: Rows of one range, about.
 RANGE_ROWS = 20_000
 #: No source is repeated more often.
 EPOCHS = 3
+#: Sources whose cuts are broadcast at most, and parts of a source's rows where there are more.
+BROADCAST, SALTS = 100_000, 64
 
 
 def n_words(text: str = "text") -> Column:
@@ -111,10 +115,17 @@ def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Rows that the mix takes nothing of are not in it. Cut rows have the words taken, joined by
     single spaces, and n_chars to match where docs has it. Rows equal in id, source and text at the cut share its words evenly.
-    A row's share follows from its own key and its source's cut, so texts stay where they are read.
+    A row's share follows from its own key and its source's cut, so texts stay where they are read, unless there are more than BROADCAST sources.
     """
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), n_words().alias("_size"), random_key(seed).alias("_key"), F.xxhash64("text").alias("_same")).where("_size > 0")
-    out = row.join(cuts(docs, seed), F.col("_source").eqNullSafe(F.col("of")))
+    ends = checkpointed(cuts(docs, seed))
+    if ends.limit(BROADCAST + 1).count() <= BROADCAST:
+        out = row.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("of")))
+    else:
+        # A hot source is dealt out by its rows' keys.
+        salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS))
+        dealt = ends.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = row.join(dealt, F.col("_source").eqNullSafe(F.col("of")) & (salt == F.col("_part")))
     here = F.struct(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_same").alias("same"))
     once = F.when(F.col("cut").isNull(), F.lit(0)).when(here < F.col("cut"), F.col("_size")).when(here == F.col("cut"), F.floor(F.col("left") / F.col("ties"))).otherwise(F.lit(0)).cast("long")
     turns = F.concat(F.array_repeat(F.col("_size"), F.col("epochs").cast("int")), F.when(once > 0, F.array(once)).otherwise(F.array().cast("array<bigint>")))

@@ -43,7 +43,9 @@ def brute_repeat(rows):
     return sorted(out, key=str)
 
 
-def test_repeat_takes_what_mix_says(spark):
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_repeat_takes_what_mix_says(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST", most)
     r = random.Random(2)
     rows = [(i, prose(r, r.randrange(1, 60)), None if i % 9 == 0 else f"s{i % 4}" if i % 3 else "big", 1, i, "x") for i in range(300)] + [(900, None, "s1", 1, 1, "x"), (901, "", "s2", 1, 1, "x"), (None, prose(r, 9), "s3", 1, 1, "x"), (None, prose(r, 9), "empty", 1, 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, cut int, _row string")
