@@ -129,3 +129,43 @@ def test_alignment_of_gaps_of_any_length():
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
         assert chaining.agree(a, b) == row[-1]
+
+
+def test_all_earlier_holders_of_frequent_seeds_are_asked(spark):
+    """Fragments of 48 words at twelve shifts cover every stretch of 44 words of a passage, before its source and between the source and the copy: no key's first or latest holder is the source."""
+    r = random.Random(29)
+    texts, wanted = [], {}
+    for _ in range(3):
+        whole = line(r, 144)
+
+        def fragments(shift):
+            parts = [whole[max(0, i) : i + 48] for i in range(-shift, 144, 48)]  # noqa: B023
+            return [w for p in r.sample(parts, len(parts)) for w in p + line(r, 30)]
+
+        for _ in range(2):
+            texts += [fragments(shift) for shift in range(0, 48, 4)]
+            texts.append(line(r, 7) + whole)
+        wanted[len(texts) - 1] = len(texts) - 14
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {}
+    for p in chaining.find_passages(docs).collect():
+        found.setdefault((p.doc_id, p.source_doc_id), set()).update(range(p.start_word, p.start_word + p.n_words))
+    assert all(set(range(7, 151)) <= found.get(pair, set()) for pair in wanted.items())
+
+
+def test_a_stretch_that_many_ask_for_is_fetched_once_a_group(spark):
+    """Words that a group's documents ask of one earlier text travel once, so a hot text costs its own length a group."""
+    r = random.Random(31)
+    whole = line(r, 60)
+    docs = spark.createDataFrame([(i, " ".join(line(r, 5) + whole + line(r, 5))) for i in range(200)], "doc_id long, text string")
+    from almanac.llm.packed import by_group, scatter, schema, scratch, with_group
+
+    import numpy as np
+
+    with scratch(spark):
+        texts = by_group(with_group(docs, 4), 4)
+        d = np.arange(1, 200)
+        asked = scatter(chaining.deal(d, 4), 4, {c: np.full(199, v, np.int64) if v is not None else d.astype(np.int64) for c, v in (("d", None), ("e", 0), ("k", 0), ("x", 5), ("y", 5), ("w", 60))})
+        runs = spark.createDataFrame([tuple(x.values()) for x in asked.to_pylist()], schema(*"dekxyw"))
+        sent = chaining.fetched(texts, runs, 4).collect()
+    assert sum(len(x.words) for x in sent) == 4 * 70 * 8
