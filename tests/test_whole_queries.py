@@ -9,3 +9,10 @@ def test_paper_factors_keep_the_trailing_change_and_the_plain_body(spark):
     got = catalog.queries()["paper_factors"](spark, SF)
     assert {"OPEN_TO_CLOSE", "BODY", "body_plain", "change5"} <= set(got.columns)
     assert got.where("change5 is not null").count() > 0 and got.where("body_plain <> BODY").count() > 0
+
+
+def test_registry_latest_keep_has_every_user(spark):
+    got = catalog.queries()["registry_latest_keep"](spark, SF)
+    users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+    assert got.count() == users > got.where("keep").count() > 0
+    assert got.where("keep <> (event_type = 'purchase')").count() == 0
