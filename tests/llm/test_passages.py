@@ -169,3 +169,29 @@ def test_a_stretch_that_many_ask_for_is_fetched_once_a_group(spark):
         runs = spark.createDataFrame([tuple(x.values()) for x in asked.to_pylist()], schema(*"dekxyw"))
         sent = chaining.fetched(texts, runs, 4).collect()
     assert sum(len(x.words) for x in sent) == 4 * 70 * 8
+
+
+def test_documents_that_share_only_what_is_covered_are_no_pairs(spark):
+    """Of a passage that many documents have the pairs grow with the documents, not with their square; a holder of more of it than those asked first is still found."""
+    from almanac.llm.packed import by_group, scratch, with_group
+
+    r = random.Random(37)
+    whole = line(r, 55)
+    long = line(r, 30)
+    texts = [line(r, 80) + whole + line(r, 80) for _ in range(60)]
+    # The second holder of `long` has it after `whole`, as the last has, and others have it alone.
+    texts[20] = line(r, 80) + whole + long + line(r, 50)
+    texts += [line(r, 80) + long + line(r, 80) for _ in range(10)] + [line(r, 80) + whole + line(r, 80)]
+    texts.append(line(r, 40) + whole + long + line(r, 40))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    with scratch(spark):
+        grouped = by_group(with_group(docs, 4), 4)
+        found = chaining.seed_matches(grouped, 4)
+        single, shared = found.where("d is not null").select("g", "d", "x", "e", "y"), found.where("h is not null").select("g", "h", "doc", "at")
+        first = chaining.settle(chaining.aligned(grouped, chaining.chained(single, 4), 4))
+        asked = sum(len(m.d) // 8 for m in chaining.rest_matches(shared, first, 4).collect())
+    found = {}
+    for p in chaining.find_passages(docs).collect():
+        found.setdefault(p.doc_id, set()).update(range(p.start_word, p.start_word + p.n_words))
+    assert set(found) == {*range(1, 60), 70, 71} and found[71] == {*range(40, 125)}
+    assert asked < 4 * len(texts)
