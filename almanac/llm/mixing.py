@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.llm.packed import checkpointed
+from almanac.llm.packed import checkpointed, scratch, settle
 
 #: Rows of one range, about.
 RANGE_ROWS = 20_000
@@ -92,10 +92,10 @@ def cuts(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """(of, epochs, cut, left, ties), a row for each source: whole epochs, and where the last one ends.
 
     Rows before `cut`, a struct (key, size, same) that rows are compared with, are taken once more. The rows equal to it, `ties` of them, share `left`
-    words. Sources whose budget is whole epochs have no cut. Texts are read, not shuffled: sizes and keys are.
+    words. Sources whose budget is whole epochs have no cut. Texts are read once, not shuffled: their sizes and keys are written to the scratch and serve both sums and order.
     """
     rows = docs.select("source", n_words().alias("size"), random_key(seed).alias("key"), F.xxhash64("text").alias("same")).where("size > 0")
-    rows = rows.withColumn("part", range_of(F.lit(max(64, docs.count() // RANGE_ROWS))))
+    rows = settle(rows.withColumn("part", range_of(F.lit(max(64, docs.count() // RANGE_ROWS)))))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("part_before", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
@@ -118,7 +118,8 @@ def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
     A row's share follows from its own key and its source's cut, so texts stay where they are read, unless there are more than BROADCAST sources.
     """
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), n_words().alias("_size"), random_key(seed).alias("_key"), F.xxhash64("text").alias("_same")).where("_size > 0")
-    ends = checkpointed(cuts(docs, seed))
+    with scratch(docs.sparkSession):
+        ends = checkpointed(cuts(docs, seed))
     if ends.limit(BROADCAST + 1).count() <= BROADCAST:
         out = row.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("of")))
     else:

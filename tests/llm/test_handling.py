@@ -140,3 +140,19 @@ def test_media_columns_of_the_fixture(spark):
         assert x.feature == f"mean={samples.mean():.4f};std={samples.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};levels={len(share)};rows={len(payload) // 192}"
         assert media[:4] == b"RIFF" and media[8:16] == b"WEBPVP8L"
     assert df.limit(0).select(webp.media_digest("text")).collect() == []
+
+
+def test_the_mix_counts_each_text_once_to_find_its_cuts(spark, monkeypatch):
+    """What the cuts are made of is written without texts before it is summed and ordered, and gone when the cuts are known."""
+    import os
+
+    from almanac.llm import packed
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2], " ".join(["w"] * (i % 7 + 1))) for i in range(200)], "doc_id long, source string, text string")
+    seen, write = [], packed.written
+    monkeypatch.setattr(packed, "written", lambda df, at: seen.append((df.columns, at)) or write(df, at))
+    got = mixing.repeat(docs)
+    assert [c for c, _ in seen] == [["source", "size", "key", "same", "part"]]
+    assert not os.path.exists(seen[0][1].removeprefix("file:"))
+    size = sum(i % 7 + 1 for i in range(200))
+    assert abs(got.agg(F.sum(mixing.n_words())).first()[0] - size) <= 2
