@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,17 +106,21 @@ def vendor_scope(period: Column, notice: Column, targets: list[str], member: Col
     return F.array_compact(F.array(F.when(~known, "NON_TARGET_REPORT_PERIOD"), F.when(~dated, "INVALID_PUBLICATION_DATE"), F.when(dated & known & ~inside, "OUTSIDE_TARGET_NOTICE_WINDOW"), F.when(~F.coalesce(member, F.lit(False)), "NOT_IN_TARGET_YEAR_MEMBER_UNION")))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often `then` uses it: as a column it would be worked out again at each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
 
 def pages(text: Column) -> Column:
     """The pages of a text with marks === PAGE n ===, as a map from their numbers; of a repeated number the last page."""
-    parts = F.slice(F.split(text, r"=== PAGE (?=\d+ ===)"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(text, r"=== PAGE (?=\d+ ===)")) - 1))
+    parts = let(F.split(text, r"=== PAGE (?=\d+ ===)"), lambda p: F.slice(p, F.lit(2), F.greatest(F.lit(0), F.size(p) - 1)))
     entry = lambda p: F.struct(F.regexp_extract(p, r"^(\d+) ===", 1).cast("int").alias("n"), F.regexp_replace(p, r"^\d+ ===", "").alias("text"))
-    rows = F.transform(parts, entry)
-    last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda s: s["n"] == r["n"]))
-    return F.map_from_entries(last)
+    last = lambda rows: F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda s: s["n"] == r["n"]))
+    return F.map_from_entries(let(F.transform(parts, entry), last))
 
 
 def numbers(quote: Column) -> Column:
@@ -164,24 +169,39 @@ def evidence_errors(doc: str = "doc", text: str = "text") -> Column:
     profit and yoy: structs (kind, lower, upper, point), evidence: array of (field, page, quote)), a struct `doc` (announcement_id, period) and the
     document's text with page marks. Every number must stand in a quote of its field that its page has, in the record's unit.
     """
-    r = lambda c: F.col(f"record.{c}")
-    page = pages(F.col(text))
-    sound = F.filter(r("evidence"), lambda e: F.coalesce(F.length(compact(e["quote"])) > 0, F.lit(False)) & F.coalesce(F.map_contains_key(page, e["page"]), F.lit(False)))
-    inside = lambda e: F.coalesce(compact(page[e["page"]]).contains(compact(e["quote"])), F.lit(False))
-    quotes = lambda field: F.transform(F.filter(sound, lambda e: (e["field"] == field) & inside(e)), lambda e: e["quote"])
-    joined = lambda field: compact(F.array_join(quotes(field), ""))
+
+    def item(page: Column, e: Column) -> Column:
+        """One piece of evidence: its field and quote, the quote compact, whether it has words, whether its page is there, and whether that page has it."""
+        held = lambda q: F.coalesce(compact(page[e["page"]]).contains(q), F.lit(False))
+        return let(compact(e["quote"]), lambda q: F.struct(e["field"].alias("field"), e["page"].alias("page"), e["quote"].alias("quote"), F.coalesce(F.length(q) > 0, F.lit(False)).alias("full"), F.coalesce(F.map_contains_key(page, e["page"]), F.lit(False)).alias("there"), held(q).alias("inside")))
+
+    def support(items: Column) -> Column:
+        """The quotes of each field that stand in their pages, and without blanks as one text, and what is wrong with other evidence."""
+        quotes = lambda field: F.transform(F.filter(items, lambda e: e["full"] & e["there"] & (e["field"] == field) & e["inside"]), lambda e: e["quote"])
+        fault = lambda e: F.when(~e["full"], F.concat(F.lit("EMPTY_QUOTE:"), e["field"])).when(~e["there"], F.concat(F.lit("MISSING_PAGE:"), F.coalesce(e["page"].cast("string"), F.lit("None")))).when(~e["inside"], F.concat(F.lit("QUOTE_NOT_IN_PAGE:"), e["field"]))
+        own = lambda field: let(quotes(field), lambda q: F.struct(q.alias("quotes"), compact(F.array_join(q, "")).alias("joined"))).alias(field)
+        return F.struct(*map(own, ("signature_date", "prior_reference", "parent_profit_range", "yoy_range")), F.transform(items, fault).alias("bad"))
+
+    found = let(pages(F.col(text)), lambda page: F.transform(F.col("record.evidence"), lambda e: item(page, e)))
+    return let(F.struct(F.col("record").alias("record"), F.col(doc).alias("doc"), let(found, support).alias("held")), lambda row: _evidence_codes(row["record"], row["doc"], row["held"]))
+
+
+def _evidence_codes(record: Column, doc: Column, held: Column) -> Column:
+    """The codes of a record with what supports it: by field a struct (quotes, joined), and `bad`."""
+    r = lambda c: reduce(lambda a, b: a[b], c.split("."), record)
+    quotes, joined = (lambda field: held[field]["quotes"]), (lambda field: held[field]["joined"])
     bounds = ("lower", "upper", "point")
     value = lambda p, b: r(f"{p}.{b}")
     some = reduce(lambda a, b: a | b, (value(p, b).isNotNull() for p in ("profit", "yoy") for b in bounds))
     scale = F.element_at(F.create_map(*(F.lit(x) for kv in SCALES.items() for x in kv)), F.coalesce(r("money_unit"), F.lit("")))
     codes = [
-        F.when(~r("announcement_id").eqNullSafe(F.col(f"{doc}.announcement_id")), "IDENTITY_MISMATCH"),
+        F.when(~r("announcement_id").eqNullSafe(doc["announcement_id"]), "IDENTITY_MISMATCH"),
         F.when(~r("claim_type").eqNullSafe(F.lit("source_claim")), "CLAIM_TYPE_MUST_BE_SOURCE_CLAIM"),
         F.when(~F.coalesce(r("document_class").isin("Q1_FORECAST", "Q1_EXPRESS", "ANNUAL_ONLY", "OTHER", "UNRESOLVED"), F.lit(False)), "INVALID_DOCUMENT_CLASS"),
         F.when(~F.coalesce(r("extraction_status").isin("DRAFT_EXTRACTED", "NEEDS_REVIEW"), F.lit(False)), "INVALID_EXTRACTION_STATUS"),
         F.when(r("money_unit").isNotNull() & ~r("money_unit").isin(*SCALES, "mixed"), "INVALID_MONEY_UNIT"),
         F.when(some & ~F.coalesce(r("document_class").isin("Q1_FORECAST", "Q1_EXPRESS"), F.lit(False)), "NUMERIC_WITHOUT_VERIFIED_Q1_PERIOD"),
-        F.when(r("period") != F.col(f"{doc}.period"), "PERIOD_DIFFERS_FROM_QUERY_TARGET_REVIEW_REQUIRED"),
+        F.when(r("period") != doc["period"], "PERIOD_DIFFERS_FROM_QUERY_TARGET_REVIEW_REQUIRED"),
         F.when(r("signature_date").isNotNull() & (F.size(quotes("signature_date")) == 0), "SIGNATURE_DATE_EVIDENCE_MISSING"),
         F.when(r("prior_reference").isNotNull() & (F.size(quotes("prior_reference")) == 0), "PRIOR_REFERENCE_EVIDENCE_MISSING"),
     ]
@@ -195,20 +215,14 @@ def evidence_errors(doc: str = "doc", text: str = "text") -> Column:
             quoted = F.size(quotes(field)) > 0
             unit = F.when(scale.isNull(), f"UNRESOLVED_CURRENCY_SCALE:{name}").when(~joined(field).contains(r("money_unit")), f"UNIT_NOT_IN_QUOTE:{name}") if p == "profit" else F.when(~joined(field).rlike(PERCENT), f"PERCENT_UNIT_NOT_IN_QUOTE:{name}")
             number = F.abs(v.cast("decimal(30,8)")) / (scale if p == "profit" else F.lit(1))
-            stands = F.exists(quotes(field), lambda q: F.exists(numbers(q), lambda x: x == number))
+            stands = let(number, lambda n: F.exists(quotes(field), lambda q: F.exists(numbers(q), lambda x: x == n)))  # noqa: B023
             codes += [F.when(v.isNotNull() & ~quoted, f"MISSING_SUPPORT:{name}"), F.when(v.isNotNull() & quoted, unit)]
             codes.append(F.when(v.isNotNull() & quoted & (scale.isNotNull() if p == "profit" else F.lit(True)) & ~F.coalesce(stands, F.lit(False)), f"UNSUPPORTED_NUMBER:{name}"))
     money, growth = joined("parent_profit_range"), joined("yoy_range")
     above = lambda p: reduce(lambda a, b: a | b, (F.coalesce(value(p, b) > 0, F.lit(False)) for b in bounds))
     codes.append(F.when(money.contains(LOSS) & ~money.rlike(NO_LOSS) & above("profit"), "LOSS_SIGN_CONFLICT"))
     codes.append(F.when(growth.contains(DECLINE) & ~growth.rlike(NO_DECLINE) & above("yoy"), "DECLINE_SIGN_CONFLICT"))
-    bad = F.transform(
-        r("evidence"),
-        lambda e: F.when(~F.coalesce(F.length(compact(e["quote"])) > 0, F.lit(False)), F.concat(F.lit("EMPTY_QUOTE:"), e["field"]))
-        .when(~F.coalesce(F.map_contains_key(page, e["page"]), F.lit(False)), F.concat(F.lit("MISSING_PAGE:"), F.coalesce(e["page"].cast("string"), F.lit("None"))))
-        .when(~inside(e), F.concat(F.lit("QUOTE_NOT_IN_PAGE:"), e["field"])),
-    )
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*codes), F.coalesce(bad, F.array().cast("array<string>"))))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*codes), F.coalesce(held["bad"], F.array().cast("array<string>"))))))
 
 
 def retrieve(documents: DataFrame, text: Column, ident: str, query: str, limit: int = 10) -> DataFrame:

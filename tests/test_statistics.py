@@ -126,6 +126,18 @@ def test_evidence(spark):
     assert "UNORDERED_RANGE:profit" in evidence(spark, quote, lower=300_000.0)
 
 
+def test_evidence_is_worked_out_once(spark):
+    """The text is cut into pages once, not again for each code; of a repeated page the last counts, and quotes of a field are judged together."""
+    assert str(ledger.evidence_errors()._jc).count("=== PAGE ") == 1
+    quotes = [("parent_profit_range", 1, "净利润 10 万元"), ("parent_profit_range", 2, "至 20 万元"), ("yoy_range", 2, "同比 下降 5 %"), ("yoy_range", 1, ""), ("prior_reference", None, "x")]
+    record = ("A", "source_claim", "Q1_FORECAST", "NEEDS_REVIEW", "万元", "2020-03-31", "2020-01-01", "earlier", ("RANGE", 100_000.0, 200_000.0, None), ("APPROX_POINT", None, None, 5.0), quotes)
+    rows = [(record, ("A", "2020-03-31"), text) for text in ("=== PAGE 1 ===x=== PAGE 2 ===至20万元 同比下降5%=== PAGE 1 ===净利润10万元", "no pages", None)]
+    held, none, null = (r[0] for r in spark.createDataFrame(rows, RECORD).select(ledger.evidence_errors()).collect())
+    both = ["EMPTY_QUOTE:yoy_range", "MISSING_PAGE:None", "PRIOR_REFERENCE_EVIDENCE_MISSING", "SIGNATURE_DATE_EVIDENCE_MISSING"]
+    assert held == sorted([*both, "APPROX_POINT_QUALIFIER_MISSING:yoy", "DECLINE_SIGN_CONFLICT"])
+    assert none == null == sorted([*both, "APPROX_POINT_QUALIFIER_MISSING:yoy", "MISSING_PAGE:1", "MISSING_PAGE:2", "MISSING_SUPPORT:profit.lower", "MISSING_SUPPORT:profit.upper", "MISSING_SUPPORT:yoy.point"])
+
+
 def test_statements_wait_for_their_dependencies(spark):
     rows = [("x", "2020-04-10", "2019-04-10", 1.0), ("y", "2020-04-10", "2020-05-01", 2.0), ("z", "2020-04-10", None, 3.0), ("w", None, "2019-04-10", 4.0)]
     df = spark.createDataFrame(rows, "k string, now string, before string, v double")
