@@ -215,3 +215,34 @@ def test_stream_in_any_arrival_order(spark, tmp_path):
             want = e if e and (day(d) - e[0]).days <= 400 and (day(d) - e[1]).days <= 550 else None
             found = [x for x in got if x.key == k and x.start_dt <= day(d) <= x.end_dt]
             assert [(x.pub, x.stat, x.value) for x in found] == ([] if want is None else [want])
+
+
+def test_stream_reads_its_state_once_for_many_keys():
+    """A call handles a group of keys with one reading, one writing and one timer, however many keys and days it has."""
+    import pandas as pd
+
+    from almanac.streaming import fiscal
+
+    calls, held = [], {}
+
+    class State:
+        get = lambda self: calls.append("get") or held.get(0)
+        update = lambda self, value: calls.append("update") or held.update({0: value})
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: State()
+        registerTimer = lambda self, ms: calls.append(ms // fiscal.DAY_MS)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 51 * fiscal.DAY_MS
+
+    p = fiscal.Precedence()
+    p.init(Handle())
+    rows = pd.DataFrame([(k, 10 + 30 * n, 10 * n, n, float(n)) for k in range(50) for n in range(3)], columns=["key", "day", "stat", "ord", "value"])
+    assert list(p.handleInputRows((0,), iter([rows, rows]), None)) == []
+    assert calls == ["get", 11, "update"]
+    calls.clear()
+    (out,) = p.handleExpiredTimer((0,), Watermark(), None)
+    # Of each key the first value ended at the second's day; the third day waits.
+    assert out.values.tolist() == [[k, 10, 0, 0.0, 11, 40] for k in range(50)]
+    assert calls == ["get", 71, "update"]
