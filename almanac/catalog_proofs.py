@@ -308,14 +308,19 @@ def csv_round_trip(spark, d):
     return text.join(typed, F.col("o_orderkey") == F.col("_k")).select("o_orderkey", "o_orderstatus", F.round(F.col("price").cast("double"), 4).alias("price"), "note")
 
 
+#: Records of a saved page.
+PAGE = 10_000
+
+
 @query("json_page_rows", "SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 7")
 def json_page_rows(spark, d):
-    """Events as saved response pages, some of them without a result, read and exploded; the records' fields come back from names and values."""
+    """Events as saved response pages of at most PAGE records, some of them without a result, read and exploded; the records' fields come back from names and values."""
     at = _folder(spark, "pages")
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
     data = F.collect_list(F.struct(F.array(F.lit("user_id"), F.lit("event_type")).alias("fields"), F.array(F.col("user_id").cast("string"), F.col("event_type")).alias("values"), "event_id"))
-    pages = e.groupBy((F.col("event_id") % 10).alias("page")).agg(data.alias("data")).select(F.when(F.col("page") != 7, F.struct(F.struct("data").alias("result"))).alias("body"))
-    pages.select(F.to_json(F.struct("body")).alias("value")).repartitionByRange(10, "value").write.text(at)
+    pages = e.groupBy((F.col("event_id") % 10).alias("page"), F.floor(F.col("event_id") / (10 * PAGE)).alias("part")).agg(data.alias("data")).select(F.when(F.col("page") != 7, F.struct(F.struct("data").alias("result"))).alias("body"))
+    # A document to a file, written where it is: dealing them out by ranges would send the driver a sample, whole pages.
+    pages.select(F.to_json(F.struct("body")).alias("value")).write.option("maxRecordsPerFile", 1).text(at)
     rows = files.json_pages(spark, at, "fields: array<string>, values: array<string>, event_id: bigint", ["event_id"])
     m = files.records("fields", "values")
     return rows.select("event_id", m["user_id"].cast("long").alias("user_id"), m["event_type"].alias("event_type"))
