@@ -85,9 +85,12 @@ def next_date(events: DataFrame, dates: DataFrame, at: str) -> DataFrame:
 
 
 def in_cells(intervals: DataFrame, width: int) -> DataFrame:
-    """intervals once for every slice of time that they touch, as `_c`. Those that end before they start, or lack an end, touch none."""
+    """intervals once for every slice of time that they touch, as `_c`. Those that end before they start, or lack an end, touch none.
+
+    They are to be joined by sorting: Spark takes their size for that of the intervals before they were cut, and would send all slices through the driver.
+    """
     span = F.sequence(cell(F.col("start_dt"), width), cell(F.col("end_dt"), width))
-    return intervals.where("start_dt <= end_dt").withColumn("_c", F.explode(span))
+    return intervals.where("start_dt <= end_dt").withColumn("_c", F.explode(span)).hint("merge")
 
 
 def within(events: DataFrame, intervals: DataFrame, key: str, at: str, width: int = 32) -> DataFrame:

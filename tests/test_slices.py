@@ -246,3 +246,15 @@ def test_stream_reads_its_state_once_for_many_keys():
     # Of each key the first value ended at the second's day; the third day waits.
     assert out.values.tolist() == [[k, 10, 0, 0.0, 11, 40] for k in range(50)]
     assert calls == ["get", 71, "update"]
+
+
+def test_sliced_intervals_are_not_sent_through_the_driver(spark, tmp_path):
+    """A few long intervals are many slices, whatever their size seems to be before they are cut."""
+    spark.createDataFrame([(k, day(0), day(1999)) for k in range(3)], "k int, start_dt date, end_dt date").write.parquet(str(tmp_path / "spans"))
+    spans = spark.read.parquet(str(tmp_path / "spans"))
+    at = spark.createDataFrame([(k, day(p)) for k in range(4) for p in (0, 700, 1999, 2000)], "k int, at date")
+    got = asof.within(at, spans, "k", "at")
+    pairs = asof.containing(at, spans, "k", "at")
+    for df in (got, pairs, asof.overlapping_pairs(spans, spans, "k")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(k, day(p)) for k in range(3) for p in (0, 700, 1999)] and pairs.count() == 9
