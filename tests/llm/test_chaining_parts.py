@@ -93,3 +93,26 @@ def test_words_are_numbered_once_for_all_rounds(spark):
         plain = with_group(docs, 2)
         both = [{(r.g, bytes(r.d or b""), bytes(r.x or b"")) for r in chaining.seed_matches(by_group(t, 2), 2).collect()} for t in (plain, chaining.numbered(plain))]
     assert both[0] == both[1] and any(d for _, d, _ in both[0])
+
+
+def test_packed_tables_are_read_by_few_rows_and_fetched_words_not_written(spark, monkeypatch):
+    """Rows of a large group are many MB; the words that chains ask for grow with the pairs of documents and go straight to those who asked."""
+    settle, kept, settled, read = chaining.settle, chaining.kept, [], []
+    monkeypatch.setattr(chaining, "settle", lambda df: settled.append(df.columns) or settle(df))
+    monkeypatch.setattr(chaining, "kept", lambda df: read.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))) or kept(df))
+    passage = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{passage} own{i} " + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(12)], "doc_id long, text string")
+    got = chaining.find_passages(docs).collect()
+    assert {(r.doc_id, r.start_word, r.n_words) for r in got} == {(i, 0, 120) for i in range(1, 12)}
+    assert settled and not any("words" in c for c in settled)
+    assert max(read) <= 64 and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+
+
+def test_stretches_come_back_from_packed_words():
+    import pyarrow as pa
+
+    parts = [[(7, 3, [1, 2, 1]), (9, 0, [5])], [(7, 40, [2**64 - 1, 0])]]
+    pack = lambda x, t: np.array(x, t).tobytes()
+    row = lambda p: {**{c: pack(x, np.int64) for c, x in zip("eon", ([e for e, _, _ in p], [o for _, o, _ in p], [len(w) for *_, w in p]), strict=True)}, "words": pa.compress(pack(sum((w for *_, w in p), []), np.uint64), chaining.CODEC, asbytes=True)}
+    got = chaining.stretches(pa.Table.from_pylist([row(p) for p in parts]))
+    assert [(e, o, w.tolist()) for e, o, w in got] == parts[0] + parts[1]
